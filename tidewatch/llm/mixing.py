@@ -74,7 +74,7 @@ def solve(sizes: DataFrame, aims: DataFrame, limit: float = LIMIT, steps: int =
 
 
 def copies_by_size(sizes: DataFrame, state: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """(src, size, n, base, more): each document of the size gets ``base`` copies and ``more`` of them one more."""
+    """(src, size, n, base, more): each document of the size gets ``base`` copies, and they share ``more`` further ones."""
     rate = F.when(F.col("lam") == math.inf, F.lit(limit)).when(F.col("lam") == -math.inf, F.lit(0.0)).otherwise(F.least(F.lit(limit), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
     plan = sizes.join(state.select("src", "target", "lam", "mean"), "src").withColumn("rate", rate).withColumn("base", F.floor("rate"))
     along = Window.partitionBy("src").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
@@ -83,7 +83,7 @@ def copies_by_size(sizes: DataFrame, state: DataFrame, limit: float = LIMIT) ->
     plan = materialised(plan.select("src", "size", "n", "base", F.col("more").cast("bigint").alias("more"), "target"), "copies")
     for _ in range(CORRECTIONS):
         short = plan.groupBy("src").agg((F.first("target") - F.sum((F.col("n") * F.col("base") + F.col("more")) * F.col("size"))).alias("short"))
-        add, drop = (F.col("more") < F.col("n")) & (F.col("base") < limit), F.col("more") > 0
+        add, drop = F.col("more") < F.col("n") * (limit - F.col("base")), F.col("more") > 0
         option = lambda ok, sign: F.when(ok & (F.col("size") > 0) & (F.abs(F.col("short") - sign * F.col("size")) < F.abs("short")), F.struct(F.abs(F.col("short") - sign * F.col("size")).alias("left"), F.col("size").alias("best"), F.lit(sign).alias("sign")))
         best = plan.join(short, "src").groupBy("src").agg(F.least(F.min(option(add, 1)), F.min(option(drop, -1))).alias("x")).where("x is not null").select("src", "x.best", "x.sign")
         plan = materialised(plan.join(best, "src", "left").select("src", "size", "n", "base", F.when(F.col("size") == F.col("best"), F.col("more") + F.col("sign")).otherwise(F.col("more")).cast("bigint").alias("more"), "target"), "copies")
@@ -101,9 +101,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     totals = sizes.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum((F.col("n") * F.col("size")).cast("double") * F.col("size")).alias("words2"))
     aims = targets(totals)
     state = solve(sizes, aims)
-    plan = copies_by_size(sizes, state).select("src", "size", "base", "more").join(state.select("src", "words", "target"), "src")
+    plan = copies_by_size(sizes, state).select("src", "size", F.col("n").alias("all"), "base", "more").join(state.select("src", "words", "target"), "src")
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = parts.withColumn("ahead", ahead).join(plan, ["src", "size"]).select("src", "size", "salt", (F.col("more") - F.col("ahead")).alias("mine"), "base", "words", "target")
+    dealt = parts.withColumn("ahead", ahead).join(plan, ["src", "size"]).select("src", "size", "salt", (F.col("more") % F.col("all") - F.col("ahead")).alias("mine"), (F.col("base") + F.floor(F.col("more") / F.col("all"))).alias("base"), "words", "target")
     rank = F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("luck", F.col(f"doc.{id_col}")))
     placed = rows.withColumn("rank", rank).join(dealt, ["src", "size", "salt"])
     copies = (F.col("base") + (F.col("rank") <= F.col("mine")).cast("bigint")).cast("bigint")
