@@ -89,10 +89,11 @@ def leakage_probe(s, d):
     return leakage.probe(batch, leakage.index(corpus(s, d))).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
 
 
-def document_overlap(s, d):
-    """Whole texts of the benchmark that documents repeat."""
-    b = table(s, d, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))
-    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(b, "h").select("doc_id", "item_id")
+def duplicate_texts(s, d):
+    """Documents whose text an earlier one has, with that one."""
+    t = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = t.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return t.join(first, "h").where("doc_id > first").select("doc_id", "first")
 
 
 def hashes(s, d):
@@ -193,7 +194,7 @@ SELECT url, label, CASE WHEN label = 1 THEN 'feed' ELSE 'tranco' END AS source,
     "leakage_stats": f"{CORPUS} SELECT CASE WHEN url IS NULL THEN 'url_errors' ELSE 'urls' END AS stat, count(*) AS n FROM corpus GROUP BY 1 UNION ALL SELECT 'html', count(*) FROM corpus",
     "leakage_probe": f"""{INDEX}, batch AS (SELECT p.page_id, n.url, sha256({url_queries.CANONICAL}) AS h FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 <> 0)
 SELECT page_id, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'url' AND key = url) AS INT) AS in_url, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'html_hash' AND key = h) AS INT) AS in_html_hash, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'phishing_domain' AND key = {DOMAIN}) AS INT) AS in_phishing_domain FROM batch""",
-    "document_overlap": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON d.text = b.text",
+    "duplicate_texts": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first",
     "hamming_pairs": f"WITH {BITS}, copies AS (SELECT vec_id + 1000000 AS vec_id, concat(translate(substring(b, 1, CAST(vec_id % 9 AS INT)), '01', '10'), substring(b, CAST(vec_id % 9 AS INT) + 1)) AS b FROM bits) SELECT x.vec_id AS a, y.vec_id AS b, hamming(x.b, y.b) AS distance FROM bits x, copies y WHERE hamming(x.b, y.b) <= 5",
     "hash_hex": f"WITH {BITS} SELECT vec_id, array_to_string(list_transform(range(0, 16), lambda i: substring('0123456789abcdef', CAST(8 * CAST(b[4 * i + 1] AS INT) + 4 * CAST(b[4 * i + 2] AS INT) + 2 * CAST(b[4 * i + 3] AS INT) + CAST(b[4 * i + 4] AS INT) + 1 AS BIGINT), 1)), '') AS hex, CAST(length(replace(b, '0', '')) AS BIGINT) AS ones, 1 AS same FROM bits",
     "sample_ids": f"""WITH {LABELLED}, used AS (SELECT label, doc_id AS number FROM o WHERE doc_id % 5 = 0 AND doc_id > 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM o WHERE doc_id % 5 <> 0),
@@ -204,5 +205,5 @@ SELECT doc_id, r.label, number, concat(CASE WHEN r.label = 0 THEN 'L' ELSE 'P' E
     "scan_reasons": f"WITH {WITH_PAGES} SELECT CASE WHEN url = '' THEN 'missing_url' WHEN html = '' THEN 'missing_html' WHEN status = 404 THEN 'missing_screenshot' ELSE 'written' END AS reason, count(*) AS n FROM pages_x GROUP BY 1",
 }
 
-_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, document_overlap, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores)
+_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -76,7 +76,7 @@ def revenue_by_nation(s, d):
     """A relational check: three joins and a sum; Spark picks the strategies by size."""
     o, c, l = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "lineitem")
     n = table(s, d, "nation").select("n_nationkey", "n_name")
-    per = l.groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("decimal(18,2)")).alias("r"))
+    per = l.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("r"))
     out = per.join(o.select("o_orderkey", "o_custkey"), per.l_orderkey == o.o_orderkey).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return out.groupBy("n_name").agg(F.sum("r").cast("double").alias("revenue"), F.count("*").alias("orders"))
 
@@ -89,6 +89,6 @@ k AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDE
     "stream_first_seen": "SELECT DISTINCT event_type FROM events",
     "prediction_log": "SELECT event_id, CAST(value > 50 AS INT) AS label FROM events",
     "event_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
-    "revenue_by_nation": "WITH per AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * (1 - l_discount), 2) AS DECIMAL(18, 2))) AS r FROM lineitem GROUP BY 1) SELECT n_name, CAST(sum(r) AS DOUBLE) AS revenue, count(*) AS orders FROM per JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "revenue_by_nation": "WITH per AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS r FROM lineitem GROUP BY 1) SELECT n_name, CAST(sum(r) AS DOUBLE) AS revenue, count(*) AS orders FROM per JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 }
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_first_seen, prediction_log, event_props, revenue_by_nation)}
