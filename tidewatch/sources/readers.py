@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import label_of, without_bom
 from ..functions.url import domain_to_url, normalise, normalise_feed, strip
 
 #: The dialect of all files: quotes are doubled, newlines may stand in quotes; a byte order mark is skipped.
 CSV = {"multiLine": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-PREDICTION = "sample_id string, model string, true_label int, predicted_label int, correct int, p double, threshold double, source string, domain string, url string"
 
 
 def ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
@@ -181,8 +179,3 @@ def resume(spark: SparkSession, accepted: DataFrame, rejected: DataFrame, files:
     keys = ok.select(F.col("normalized_original_url").alias("url"), "label").unionByName(rejected.where("coalesce(normalized_url, '') <> '' and mapped_label is not null").select(F.col("normalized_url").alias("url"), F.col("mapped_label").alias("label"))).distinct()
     return {"accepted": ok, "used": used, "attempted": keys, "counts": ok.groupBy("label").agg(F.count("*").alias("n"))}
 
-
-SCHEMAS = {
-    "candidate": T.StructType([T.StructField("url", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("source", T.StringType())]),
-    "prediction": T._parse_datatype_string(PREDICTION),
-}
