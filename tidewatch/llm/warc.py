@@ -232,7 +232,7 @@ def pages_of(records: DataFrame) -> DataFrame:
     """One row for each record: the payload of a revisit is that of the response it refers to; digests are compared."""
     records = materialised(records, "records")
     own = records.where("kind = 'response'").select("page", F.col("payload_bytes"), "digest", "stated", F.col("kind").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
-    of = records.where("kind = 'response'").groupBy(F.col("page").alias("of")).agg(F.min_by("payload_bytes", "at").alias("payload_bytes"), F.min_by("digest", "at").alias("digest"))
+    of = records.where("kind = 'response'").groupBy(F.col("page").alias("of")).agg(F.min_by("payload_bytes", "at").alias("payload_bytes"), F.min_by("digest", "at").alias("digest")).hint("merge")  # its size goes with the pages
     more = records.where("kind = 'revisit'").select("page", "refers", "stated").join(of, F.col("refers") == F.col("of")).select("page", "payload_bytes", "digest", "stated", F.lit("revisit").alias("record_type"), F.col("refers").alias("refers_to"))
     wrong = F.raise_error(F.concat(F.lit("the payload of page "), F.col("page").cast("string"), F.lit(" has another digest than its record states")))
     return own.unionByName(more).select(F.col("page").alias("page_id"), "payload_bytes", F.when(F.col("digest") == F.col("stated"), F.col("digest")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to")
