@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, sharding, simhash, token_counts, toxicity, vectors, warc
+from . import chat, decontaminate, mixing, oracle, quality, sharding, simhash, token_counts, toxicity, vectors, warc
 from .common import table
 
 
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
