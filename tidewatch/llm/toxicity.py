@@ -2,13 +2,15 @@
 
 A toxic and an ordinary model are compared by their length-normalised log-likelihoods. Both are interpolated, absolutely
 discounted models: a word pair backs off to its second word, a word to the shared counts of both classes, and a
-word too rare to tell the classes apart to the stems that it starts with, whose counts are numbers of different words
-(continuation counts). A rare expression thus takes the shared backoff, which is the same in both models and adds nothing.
+word too rare to tell the classes apart to the stems that it starts with. What is rare is judged by continuation
+counts, the numbers of different contexts and words: an expression that only copies of one text hold has but one. An expression whose counts don't differ between the classes beyond chance (``SIGMAS``) takes the
+shared backoff, which is the same in both models and adds nothing: so rare words don't add up to noise in long texts.
 
-Counts cover every labelled training row. They are summed in each task before the shuffle, so a hot word is one row a
-task. Only pairs of the toxic rows are shuffled; ordinary rows are then counted for the pairs kept. The model that is
-broadcast is bounded by ``MOST``. The comparison is turned into a probability by a logistic regression on the
-normalised difference and the number of words, fitted on at most about ``CALIBRATION`` training rows.
+Counts cover every labelled training row of different text (copies would count one writer's words again and again).
+They are summed in each task before the shuffle, so a hot word is one row a task. Only pairs of the toxic rows are
+shuffled; ordinary rows are then counted for the pairs kept. The model that is broadcast is bounded by ``MOST``.
+The comparison is turned into a probability by a logistic regression on the normalised difference and the number of
+words, fitted on at most about ``CALIBRATION`` rows of a fold of the training texts that the counts leave out.
 
 Training rows are those whose crc32 of the id as text, modulo ``FOLDS``, is not 0. Scores depend on the text alone.
 
@@ -32,19 +34,22 @@ from .common import append, few_or_not, free_name, materialised
 
 WORD = re.compile(r"[^\W\d_]+")
 DISCOUNT, FOLDS, STEMS = 0.75, 5, (6, 4)
-#: A word tells the classes apart if it is in so many toxic rows or is expected so often in them; a pair, in so many.
-ROWS, EXPECTED, PAIR_ROWS = 3, 5, 5
+#: Deviations from chance that tell the classes apart; toxic rows that a word and a pair need; toxic words that a stem needs.
+SIGMAS, ROWS, PAIR_ROWS, TYPES = 4.0, 3, 5, 5
 #: Entries of the broadcast model at most, for words, stems and pairs each; training rows of the regression.
 MOST, CALIBRATION = 150_000, 20_000
 FLUSH = 300_000
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, toxic) of the labelled rows outside the held-out fold."""
+    """(id, text, toxic, fold) of the labelled rows outside the held-out fold, one for each different text."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("_label_id").cast("string")) % FOLDS != 0)
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    first = hashed.join(few_or_not(known), F.col("id") == F.col("_label_id")).groupBy("h").agg(F.min(F.struct("id", "toxic")).alias("x"))
+    first = first.select(F.col("x.id").alias("_label_id"), "x.toxic", F.pmod(F.xxhash64("h"), F.lit(FOLDS)).alias("fold"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(few_or_not(known), F.col("id") == F.col("_label_id")).select("id", "text", "toxic")
+    return rows.join(few_or_not(first), F.col("id") == F.col("_label_id")).select("id", "text", "toxic", "fold")
 
 
 def _words(text: str | None) -> list[str]:
@@ -52,20 +57,20 @@ def _words(text: str | None) -> list[str]:
 
 
 def tally(train: DataFrame, kept=None) -> DataFrame:
-    """(kind, gram, toxic, ordinary, rows): kind 1 are words, 2 pairs; rows: toxic rows that hold it.
+    """(kind, gram, toxic, ordinary, rows, orows): kind 0 are all rows, 1 words, 2 pairs; rows, orows: rows that hold it.
 
     Without ``kept`` all words, and the pairs of toxic rows; else only the kept pairs (a broadcast set) of ordinary rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary, rows = Counter(), Counter(), Counter()
+        toxic, ordinary, rows, orows = Counter(), Counter(), Counter(), Counter()
 
         def out():
             grams = list(toxic.keys() | ordinary.keys())
-            made = [[2 if " " in g else 1 for g in grams], grams, [toxic[g] for g in grams], [ordinary[g] for g in grams], [rows[g] for g in grams]]
-            for c in (toxic, ordinary, rows):
+            made = [[2 if " " in g else 1 if g else 0 for g in grams], grams, *([c[g] for g in grams] for c in (toxic, ordinary, rows, orows))]
+            for c in (toxic, ordinary, rows, orows):
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["kind", "gram", "toxic", "ordinary", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["kind", "gram", "toxic", "ordinary", "rows", "orows"])
 
         pairs_kept = kept.value if kept is not None else None
         for b in batches:
@@ -78,22 +83,29 @@ def tally(train: DataFrame, kept=None) -> DataFrame:
                     toxic.update(words)
                     toxic.update(pairs)
                     rows.update({*words, *pairs})
+                    toxic[""] += 1
                 else:
                     ordinary.update(words)
+                    orows.update(set(words))
+                    ordinary[""] += 1
                 if len(toxic) + len(ordinary) > FLUSH:
                     yield out()
         if toxic or ordinary:
             yield out()
 
-    made = train.select("text", "toxic").mapInArrow(run, "kind int, gram string, toxic bigint, ordinary bigint, rows bigint")
-    return made.groupBy("kind", "gram").agg(*(F.sum(x).alias(x) for x in ("toxic", "ordinary", "rows")))
+    made = train.select("text", "toxic").mapInArrow(run, "kind int, gram string, toxic bigint, ordinary bigint, rows bigint, orows bigint")
+    return made.groupBy("kind", "gram").agg(*(F.sum(x).alias(x) for x in ("toxic", "ordinary", "rows", "orows")))
 
 
 def fit(train: DataFrame) -> dict | None:
     """The model: log ratios by word, by stem and by pair; None without rows of both classes."""
     spark = train.sparkSession
     counts = materialised(tally(train), "counts")
-    words = counts.where("kind = 1")
+    pairs = counts.where("kind = 2").withColumn("first", F.substring_index("gram", " ", 1)).withColumn("second", F.substring_index("gram", " ", -1))
+    before = pairs.groupBy(F.col("second").alias("gram")).agg(F.count("*").alias("contexts"))
+    words = counts.where("kind = 1").join(before, "gram", "left")
+    # rows count as often as the words before it differ: what only copies of one text say is said once
+    words = materialised(words.withColumn("said", F.least("rows", F.coalesce("contexts", F.lit(0)))), "words")
     total = words.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("t_types"), F.count_if(F.col("ordinary") > 0).alias("o_types"), F.count("*").alias("types")).first()
     if not total.toxic or not total.ordinary:
         return None
@@ -104,19 +116,26 @@ def fit(train: DataFrame) -> dict | None:
         shared = (t + o) / F.lit(float(nt + no))
         return F.log((F.greatest(t - d, F.lit(0.0)) / nt + gt * shared) / (F.greatest(o - d, F.lit(0.0)) / no + go * shared))
 
-    told = lambda rows: (F.col(rows) >= ROWS) | ((F.col("toxic") + F.col("ordinary")) * (nt / n) >= EXPECTED)
+    def told(t: str, o: str, share: float):
+        """Whether a count differs from its share of both by more than chance."""
+        both = F.col(t) + F.col(o)
+        return F.abs(F.col(t) - both * share) >= SIGMAS * F.sqrt(both * share * (1 - share))
+
+    in_rows = counts.where("kind = 0").first()
+    share = in_rows.toxic / (in_rows.toxic + in_rows.ordinary)
     top = lambda df, by: {r.gram: r.v for r in df.orderBy(F.desc(by), "gram").limit(MOST).select("gram", "v").collect()}
-    word = top(words.where(told("rows")).withColumn("v", log_ratio(F.col("toxic"), F.col("ordinary"), nt, no, gt, go)), F.greatest(F.col("rows"), F.col("ordinary") / 100))
+    enough = (F.col("said") >= ROWS) | (F.col("rows") < (F.col("rows") + F.col("orows")) * share)
+    word = top(words.where(told("said", "orows", share) & enough).withColumn("v", log_ratio(F.col("toxic"), F.col("ordinary"), nt, no, gt, go)), F.greatest(F.col("said"), F.col("ordinary") / 100))
     stems = None
     for k in STEMS:
-        one = words.where(F.length("gram") > k).groupBy(F.substring("gram", 1, k).alias("gram")).agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"))
+        one = words.where(F.length("gram") > k).groupBy(F.substring("gram", 1, k).alias("gram")).agg(F.sum("said").alias("t"), F.sum("orows").alias("o"), F.count_if(F.col("said") > 0).alias("types"))
         stems = one if stems is None else stems.union(one)
-    tt, to = total.t_types, total.o_types
-    told_types = (F.col("toxic") >= EXPECTED) | ((F.col("toxic") + F.col("ordinary")) * (tt / (tt + to)) >= EXPECTED)
-    stem = top(stems.where(told_types).withColumn("v", log_ratio(F.col("toxic"), F.col("ordinary"), tt, to, d * 0.1, d * 0.1)), F.col("toxic") + F.col("ordinary") / 100)
-    pairs = counts.where("kind = 2").withColumn("first", F.substring_index("gram", " ", 1))
+    st, so = words.agg(F.sum("said"), F.sum("orows")).first()
+    stems = stems.where((F.col("types") >= TYPES) & told("t", "o", st / (st + so)))
+    stem = top(stems.withColumn("v", log_ratio(F.col("t"), F.col("o"), st, so, d * 0.1, d * 0.1)), F.col("t"))
     after = pairs.groupBy("first").agg(F.count("*").alias("followers"))
-    kept = pairs.where(F.col("rows") >= PAIR_ROWS).orderBy(F.desc("rows"), "gram").limit(MOST)
+    heard = words.where(F.col("contexts") >= PAIR_ROWS).select(F.col("gram").alias("second"))
+    kept = pairs.where(F.col("rows") >= PAIR_ROWS).join(heard, "second").join(after.where(F.col("followers") >= PAIR_ROWS).select("first"), "first").orderBy(F.desc("rows"), "gram").limit(MOST)
     kept = kept.join(after, "first").join(words.select(F.col("gram").alias("first"), F.col("toxic").alias("first_t"), F.col("ordinary").alias("first_o")), "first")
     kept = [r for r in kept.select("gram", "toxic", "first_t", "first_o", "followers").collect()]
     # an ordinary count of a kept pair only
@@ -126,6 +145,9 @@ def fit(train: DataFrame) -> dict | None:
     pair: dict[str, dict[str, float]] = {}
     for r in kept:
         first, second = r.gram.split(" ")
+        both = r.toxic + seen.get(r.gram, 0)
+        if abs(r.toxic - both * nt / n) < SIGMAS * (both * nt / n * no / n) ** 0.5:
+            continue
         t, o = one[second]
         shared = (t + o) / n
         back = min(1.0, d * r.followers / r.first_t)  # shared by both classes
@@ -183,7 +205,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a toxicity score between 0 and 1 (column ``name``)."""
     train = training(docs, labels, id_col, text_col)
-    model = fit(train)
+    model = fit(train.where("fold <> 0"))
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,11 +214,14 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ratio = Ratio(sent.value)
         return lambda texts: tuple(zip(*(compare(x, ratio) for x in texts), strict=True)) if texts else ([], [])
 
-    n = train.count()
+    unseen = train.where("fold = 0")
+    n = unseen.count()
     share = min(1.0, CALIBRATION / max(n, 1))
-    few = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    few = unseen.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = append(few, "text", [("total", "double"), ("n", "bigint")], sums).select("total", "n", "toxic").collect()
     total, size, y = (np.array([r[i] for r in rows], float) for i in range(3))
+    if not len(y):
+        return docs.withColumn(name, F.lit(0.0))
     centre = float(np.median((total / np.maximum(size, 1))[y == 0])) if (y == 0).any() else 0.0
     weights = logistic(features(total, size, centre), (y > 0).astype(float))
 
