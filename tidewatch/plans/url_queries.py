@@ -78,6 +78,12 @@ def risk_by_domain(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("host").agg(F.count("*").alias("pages"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("max_score"), F.count_if(F.col("score") >= 0.5).alias("risky"))
 
 
+def online_predict(s: SparkSession, d: str) -> DataFrame:
+    from .workflow import predict
+
+    return predict(pages_x(s, d).select("page_id", "url", "html")).select("page_id", "full_url", "decision", "risk_level", F.round("phishing_probability", 4).alias("phishing_probability"), "model_source", "html_available")
+
+
 def tag_counts(s: SparkSession, d: str) -> DataFrame:
     p = pages_x(s, d).select(F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<\s*([a-z0-9]+)\b"), F.lit(1))).alias("tag"))
     return p.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
@@ -230,5 +236,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS
     "char_encode": "WITH c AS (SELECT conv_id, turn, list_transform(range(1, 201), lambda i: CASE WHEN i <= length(text) THEN least(unicode(substring(lower(text), i, 1)), 127) ELSE 0 END) AS ids FROM conversations) SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n, CAST(list_sum(ids) AS BIGINT) AS total, md5(array_to_string(ids, ',')) AS digest FROM c",
 }
 
-QUERIES = {f.__name__: f for f in (url_parts, url_normalise, feed_normalise, url_normalise_idna, domain_urls, unsafe_hosts, url_features, html_features, heuristic_score, risk_level, observed_signals, risk_by_domain, tag_counts, top_tlds, html_fingerprint, error_page, text_normalise, strip_markup, html_tokens, char_encode)}
+QUERIES = {f.__name__: f for f in (url_parts, url_normalise, feed_normalise, url_normalise_idna, domain_urls, unsafe_hosts, url_features, html_features, heuristic_score, risk_level, observed_signals, risk_by_domain, online_predict, tag_counts, top_tlds, html_fingerprint, error_page, text_normalise, strip_markup, html_tokens, char_encode)}
+SQL["online_predict"] = f"""{FEATURED} SELECT page_id, full_url, CASE WHEN score < 75e-2 THEN 'inconclusive' WHEN score >= 5e-1 THEN 'phishing' ELSE 'legitimate' END AS decision, CASE WHEN score >= 75e-2 THEN 'phishing' ELSE 'suspicious' END AS risk_level,
+round(score, 4) AS phishing_probability, 'rules' AS model_source, html_available FROM featured JOIN (SELECT page_id, full_url, url FROM hosts) USING (page_id) WHERE length(trim(url)) BETWEEN 3 AND 2048"""
 SQL["domain_urls"] = f"WITH {PARTS} SELECT page_id, CASE WHEN host = '' THEN NULL ELSE concat('https://', host, '/') END AS url, CASE WHEN host = '' THEN 'empty_url' END AS error FROM hosts"
