@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import pytest
+
 import corpus_pipeline
 from tidewatch.llm import queries
 
@@ -43,3 +46,29 @@ def test_stages(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(repr([r[c] for c in columns]) for r in df.collect())
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == columns
+    assert got == sorted(repr([r[names.index(c)] for c in columns]) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_mixing_has_no_python_in_its_plan(spark):
+    plan = queries.queries()["op7_mixing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
