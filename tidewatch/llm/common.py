@@ -62,6 +62,13 @@ def few_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: Arrow batches of the session take at most so many rows, which bounds what a worker holds at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
@@ -75,6 +82,7 @@ def append(df: DataFrame, text_col: str, fields: list[tuple[str, str]], start: C
     ``start()`` runs once a task and returns a function from a list of texts (or None) to one list for each field.
     The fields' names must not clash with columns of ``df``.
     """
+    short_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k), True) for n, k in fields)])
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[k] for _, k in fields]
     at = df.columns.index(text_col)

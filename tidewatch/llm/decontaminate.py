@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialised
+from .common import free_name, materialised, short_batches
 
 WINDOW = 10
 #: Windows in one broadcast slice: some 200 bytes each.
@@ -119,6 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     ``prefix`` goes before the new columns' names, where ``docs`` has columns of these names.
     """
+    short_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(x) for x in slices(benchmark, item_col, item_text_col, window, slice_windows)]
     at = docs.columns.index(text_col)

@@ -31,6 +31,8 @@ RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Classes of a bucket beyond which it is split in the shuffle; and within a task.
 HOT, LARGE = 65_536, 4_096
 STEP = 1 << 16
+#: Rows of a band that are compared together at least, where there are so many.
+TOGETHER = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -227,6 +229,8 @@ def near_stars(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
         for b in batches:
             now = [np.asarray(c) for c in b.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if len(held[0]) < TOGETHER:
+                continue
             same = np.all([c[1:] == c[:-1] for c in held[:4]], axis=0)
             last = int(np.flatnonzero(~same)[-1]) + 1 if len(held[0]) > 1 and not same.all() else 0
             if last:  # all but the last bucket are whole

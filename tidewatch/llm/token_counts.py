@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append
+from .common import append, short_batches
 
 MARK = "▁"
 PRE = re.compile(r" *[^ \n]+| +|\n")
 #: Entries of the broadcast table; of a worker's cache; longest pre-token that either keeps; documents of the sample.
-FREQUENT, CACHE, LONGEST, SAMPLE = 50_000, 400_000, 48, 4_000
+FREQUENT, CACHE, LONGEST, SAMPLE = 50_000, 200_000, 48, 4_000
 STEP = 1 << 22
 
 
@@ -96,6 +96,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model: str, sample: int = S
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.int64())], names=["unit", "n"])
 
+    short_batches(docs.sparkSession)
     few = docs.select(text_col).sample(fraction=min(1.0, sample / n), seed=7)
     top = few.mapInArrow(tally, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(size)
     lengths = Lengths(model, {})

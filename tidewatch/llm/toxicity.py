@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, few_or_not, free_name, materialised
+from .common import append, few_or_not, free_name, materialised, short_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 DISCOUNT, FOLDS, STEMS = 0.75, 5, (6, 4)
@@ -38,7 +38,7 @@ DISCOUNT, FOLDS, STEMS = 0.75, 5, (6, 4)
 SIGMAS, ROWS, PAIR_ROWS, TYPES = 4.0, 3, 5, 5
 #: Entries of the broadcast model at most, for words, stems and pairs each; training rows of the regression.
 MOST, CALIBRATION = 150_000, 20_000
-FLUSH = 300_000
+FLUSH = 100_000
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,6 +93,7 @@ def tally(train: DataFrame, kept=None) -> DataFrame:
         if toxic or ordinary:
             yield out()
 
+    short_batches(train.sparkSession)
     made = train.select("text", "toxic").mapInArrow(run, "kind int, gram string, toxic bigint, ordinary bigint, rows bigint, orows bigint")
     return made.groupBy("kind", "gram").agg(*(F.sum(x).alias(x) for x in ("toxic", "ordinary", "rows", "orows")))
 
@@ -160,7 +161,7 @@ def fit(train: DataFrame) -> dict | None:
 class Ratio(dict):
     """Word -> log ratio. A word that isn't in the model takes its longest stem's, else 0; both are kept, bounded."""
 
-    def __init__(self, model: dict, keep: int = 400_000):
+    def __init__(self, model: dict, keep: int = 150_000):
         super().__init__(model["word"])
         self.model, self.keep = model, keep
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few_or_not, materialised, shared_dir
+from .common import checkpointed, few_or_not, materialised, shared_dir, short_batches
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Bytes after which a file is full; of one range of a scan; of a header at most; read at once.
@@ -65,6 +65,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("digest", F.sha1("payload"))
     again = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first")
     rows = rows.join(few_or_not(again), F.col("digest") == F.col("again"), "left").select("page", "url", "payload", "first")
+    short_batches(pages.sparkSession)
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
