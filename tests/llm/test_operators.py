@@ -170,6 +170,38 @@ def test_simhash_of_odd_rows(spark, odd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 5, 7, 8, 9, 10]
 
 
+def test_near_texts_are_found_down_to_the_similarity(spark, odd):
+    rng = random.Random(8)
+    texts, pairs = [], []
+    for i in range(120):
+        a = words(200, 100 + i).split()
+        b = list(a)
+        for k in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 8, 12])):
+            b[k] = "changed"
+        texts += [" ".join(a), " ".join(b).upper()]
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(196)} for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    pairs = [(2 * i, 2 * i + 1) for i in range(120) if near(2 * i, 2 * i + 1)]
+    far = [2 * i for i in range(120) if not near(2 * i, 2 * i + 1)]
+    assert len(pairs) > 50 and len(far) > 20
+    got = {r.id: r.component_id for r in simhash.near_texts(docs_of(spark, texts)).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(got[i + 1] == i + 1 for i in far)
+    narrow = simhash.near_duplicates(docs_of(spark, texts)).collect()
+    assert sum(r.component_id == r.doc_id - 1 for r in narrow) < 0.9 * len(pairs)  # what three bits of three-word shingles find
+    kept = simhash.deduplicate_texts(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 5, 7, 8, 9, 10]
+    assert simhash.deduplicate_texts(odd.limit(0)).count() == 0
+
+
+def test_near_texts_of_one_large_group(spark):
+    base = words(150, 77).split()
+    texts = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in range(150)] + [words(60, 500 + i) for i in range(30)]
+    got = {r.id: r.component_id for r in simhash.near_texts(docs_of(spark, texts)).collect()}
+    assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in range(150, 180))
+
+
 # -- token counts
 
 

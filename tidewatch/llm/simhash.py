@@ -12,6 +12,10 @@ in the shuffle (``HOT``) and within a task (``LARGE``), so a hot bucket is neith
 
 A bucket gives a star of links for each group of linked classes rather than all its pairs.
 
+A radius of 3 is far too narrow for copies that share but 0.8 of their shingles (some 10 of 64 bits differ), and at the
+radius that they need the bands are too short to tell texts apart. So ``near_texts``, which the pipeline uses, takes its
+candidates from bands of minima over five-word shingles and links those whose sets of shingles share ``SIMILAR`` or more.
+
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; fewer words than a
 shingle give one shingle of all words; repeated rows share a class; an empty table gives an empty result.
 """
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, connected_components, few_or_not, materialised
+from .common import append, connected_components, few_or_not, materialised, short_batches
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Classes of a bucket beyond which it is split in the shuffle; and within a task.
 HOT, LARGE = 65_536, 4_096
 STEP = 1 << 16
+#: Near texts: words of a shingle, the Jaccard similarity that links, and bands of so many minima each: two texts of that
+#: similarity share one with a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
+WORDS, SIMILAR, MIN_BANDS, MINIMA = 5, 0.8, 16, 5
 #: Rows of a band that are compared together at least, where there are so many.
 TOGETHER = 1 << 14
 
@@ -256,12 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, F.col("fp") == F.col("class_fp")).select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each group stays: that with the smallest id, once. The columns of ``docs``.
-
-    Rows without an id stay as they are.
-    """
-    found = near_duplicates(docs, id_col, text_col, **kw)
+def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     stay = docs.join(few_or_not(lost), id_col, "left_anti").select(*docs.columns)
     if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():  # repeated ids: one row of each
@@ -269,5 +271,91 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stay
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One document of each group stays: that with the smallest id, once. The columns of ``docs``.
+
+    Rows without an id stay as they are.
+    """
+    return _first_of_each(docs, near_duplicates(docs, id_col, text_col, **kw), id_col)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The XXH64 of the different shingles (of all words if they are fewer); texts without words have none."""
+    from xxhash import xxh64_intdigest as xxh
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
+    return np.array(list({xxh(x, SEED) for x in joined}), np.uint64)
+
+
+def min_bands(h: np.ndarray) -> list[int]:
+    """A key for each band, as signed 64-bit integers."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (3, MIN_BANDS * MINIMA), dtype=np.int64).astype(np.uint64)
+    times, plus, mix = factors[0] | np.uint64(1), factors[1], (factors[2] | np.uint64(1)).reshape(MIN_BANDS, MINIMA)
+    least = np.full(MIN_BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[at : at + 4096, None] * times + plus).min(axis=0))
+    return (least.reshape(MIN_BANDS, MINIMA) * mix).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) of the pairs (a, b: keys of ``texts`` (h, text)): whether their shingles are that similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingles(x), shingles(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    short_batches(pairs.sparkSession)
+    with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
+    with_b = with_a.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
+    """(id, component_id) of the rows with an id: the smallest id reachable by links of similar texts, itself included.
+
+    In each bucket of a band all members are compared with one of them, the lead; those that aren't alike have a lead of
+    their own in the next round, until none are left. Leads differ between bands, and candidates grow with the members.
+    """
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    names = [f"band{i}" for i in range(MIN_BANDS)]
+    signed = append(narrow, "text", [(x, "bigint") for x in names], lambda: lambda texts: list(zip(*(min_bands(shingles(x)) for x in texts), strict=True)) if texts else [[] for _ in names])
+    signed = materialised(signed.drop("text"), "minima")
+    classes = materialised(signed.groupBy("h").agg(F.min("id").alias("rep"), *(F.min(x).alias(x) for x in names)), "classes")
+    wide = classes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(x).alias("key")) for i, x in enumerate(names)))).alias("x")).select("x.band", "x.key", "h", F.xxhash64("h", F.col("x.band") % 3).alias("o"))
+    crowded = wide.groupBy("band", "key").count().where("count > 1").select("band", "key")
+    active = materialised(wide.join(crowded, ["band", "key"]), "crowded")
+    nodes = classes.join(active.select("h").distinct(), "h").select(F.col("h").alias("node_h"), F.col("rep").alias("node_id"))
+    texts = narrow.join(few_or_not(nodes), (F.col("id") == F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("h", "text").dropDuplicates(["h"])
+    texts = materialised(texts, "texts")
+    judged = None
+    while True:
+        lead = active.groupBy("band", "key").agg(F.min("o").alias("lead")).join(active.select("band", "key", F.col("o").alias("lead"), F.col("h").alias("a")), ["band", "key", "lead"])
+        asked = materialised(active.join(lead, ["band", "key"]).where("h <> a").select("band", "key", "h", "o", F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")), "asked")
+        pairs = asked.select("a", "b").distinct()
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        made = alike(pairs, texts, similarity)
+        judged = materialised(made if judged is None else judged.unionByName(made), "judged")
+        active = materialised(asked.join(judged.where("ok"), ["a", "b"], "left_anti").select("band", "key", "h", "o"), "active")
+        if not active.limit(1).count():
+            break
+    of = materialised(connected_components(judged.where("ok").select("a", "b")).withColumnRenamed("node", "h"), "components")
+    low = of.join(classes.select("h", "rep"), "h").groupBy("component").agg(F.min("rep").alias("low"))
+    named = classes.select("h", "rep").join(of, "h", "left").join(low, "component", "left").select("h", F.coalesce("low", "rep").alias("component_id"))
+    return signed.select("id", "h").join(named, "h").select("id", "component_id")
+
+
+def deduplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
+    """As deduplicate(), with groups of texts that share so many of their five-word shingles."""
+    found = materialised(near_texts(docs, id_col, text_col, similarity), "groups")
+    return _first_of_each(docs, found.withColumnRenamed("id", id_col), id_col)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
