@@ -287,6 +287,16 @@ def test_chat_query_is_brute_force(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+def test_chat_query_keeps_tied_repeated_and_null_turns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (1, 1, "assistant", "d"), (1, 1, "assistant", "d"), (1, None, "user", "z"), (1, None, "assistant", None), (1, None, "assistant", "y"), (None, None, "user", "n"), (None, None, "user", "n")]
+    got = {r.conv_id: r for r in chat.query(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    for c in (1, None):
+        own = sorted((t is None, t or 0, r, x or "") for k, t, r, x in rows if k == c)
+        learned = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in own).encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 # -- mixing
 
 

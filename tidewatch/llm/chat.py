@@ -13,7 +13,8 @@ stand there, so that reading back takes exactly one away; backslashes and newlin
 
 Defined results: null texts are empty; null roles are empty; events of equal seq keep the order message, regenerate,
 edit, delta, delete, then of their text; deltas without a message make one; a conversation whose messages are all
-deleted, and an empty log, give no rows. Repeated messages of one turn (equal seq) fold into the last.
+deleted, and an empty log, give no rows. Repeated messages of one turn (equal seq) fold into the last; in the query each
+row is a message of its own, those of one turn in the order of role and text, and rows without a turn come last.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template.
@@ -60,24 +61,28 @@ def parse(rendered: str) -> tuple[str, str]:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): the final messages, each with its place."""
+    """(conv_id, turn, role, text, copy): the final messages, each with its place.
+
+    Events may have ``copy``, which tells messages of one turn apart.
+    """
+    copy = F.col("copy").cast("bigint") if "copy" in events.columns else F.lit(0).cast("bigint")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    log = events.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("seq").cast("bigint"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    log = log.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", F.col("seq").asc_nulls_first(), rank, "role", "text")
+    log = events.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("seq").cast("bigint"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), copy.alias("copy"))
+    log = log.repartition("conv_id", "turn", "copy").sortWithinPartitions("conv_id", "turn", "copy", F.col("seq").asc_nulls_first(), rank, "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, role, parts, dead = None, "", [], False
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["conv_id", "turn", "role", "text", "copy"])
 
         for b in batches:
             out = []
-            for conv, turn, _, kind, who, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (conv, turn) != key:
+            for conv, turn, _, kind, who, text, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (conv, turn, copy) != key:
                     if key is not None and not dead:
-                        out.append((*key, role, "".join(parts)))
-                    key, role, parts, dead = (conv, turn), who, [], False
+                        out.append((*key[:2], role, "".join(parts), key[2]))
+                    key, role, parts, dead = (conv, turn, copy), who, [], False
                 if kind == "delta":
                     parts.append(text)
                     role = role or who
@@ -90,20 +95,20 @@ def fold(events: DataFrame) -> DataFrame:
             if out:
                 yield batch(out)
         if key is not None and not dead:
-            yield batch([(*key, role, "".join(parts))])
+            yield batch([(*key[:2], role, "".join(parts), key[2])])
 
-    return log.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string")
+    return log.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, copy bigint")
 
 
 def formatted(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, rendered, loss_start, loss_end): a conversation's output is its rows' ``rendered`` in order."""
+    """(conv_id, turn, rendered, loss_start, loss_end, copy): a conversation's output is its rows' ``rendered`` in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [render(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["conv_id", "turn", "rendered", "loss_start", "loss_end"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), b.column(4)], names=["conv_id", "turn", "rendered", "loss_start", "loss_end", "copy"])
 
-    return messages.mapInArrow(run, "conv_id bigint, turn bigint, rendered string, loss_start bigint, loss_end bigint")
+    return messages.mapInArrow(run, "conv_id bigint, turn bigint, rendered string, loss_start bigint, loss_end bigint, copy bigint")
 
 
 def read_back(output: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def read_back(output: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for c, _, rendered, start, end in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, _, rendered, start, end, _ in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != conv or not begun:
                     if begun:
                         out.append((conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), chars))
@@ -134,13 +139,15 @@ def read_back(output: DataFrame) -> DataFrame:
         if begun:
             yield batch([(conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), chars)])
 
-    ordered = output.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    ordered = output.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "copy")
     return ordered.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
     """A log of one message for each row of (conv_id, turn, role, text)."""
-    return conversations.select("conv_id", "turn", F.lit(0).cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    of_turn = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    numbered = conversations.withColumn("copy", F.row_number().over(of_turn).cast("bigint"))
+    return numbered.select("conv_id", "turn", F.lit(0).cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text", "copy")
 
 
 def query(conversations: DataFrame) -> DataFrame:
