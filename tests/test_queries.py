@@ -6,6 +6,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.plans import registry
 
@@ -47,6 +48,14 @@ def test_rows_only(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_neural_scores_of_pages_without_a_vector(spark, tmp_path):
+    spark.read.parquet(f"{SF}/pages.parquet").limit(6).write.parquet(f"{tmp_path}/pages.parquet")
+    pages = [r.page_id for r in spark.read.parquet(f"{tmp_path}/pages.parquet").select("page_id").collect()]
+    spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id").isin(pages[:3])).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["neural_scores"](spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got) == sorted(pages) and all(0 < x < 1 for r in got for x in r[1:])
+
+
 def test_what_has_no_sql():
     assert set(registry.queries()) - set(registry.oracle_sql()) == ROWS_ONLY
 
