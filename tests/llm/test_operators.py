@@ -441,6 +441,14 @@ def test_toxicity_on_held_out_rows(spark, labelled, odd):
     assert {r.score for r in toxicity.query(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_keeps_more_than_a_slice(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    whole = {r.doc_id: r.score for r in toxicity.query(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MOST", 3)
+    sliced = {r.doc_id: r.score for r in toxicity.query(docs, labels).collect()}
+    assert sliced == pytest.approx(whole, abs=1e-9)
+
+
 def test_quality_on_held_out_rows(spark, labelled, odd):
     docs, labels = labelled
     truth = {r.doc_id: r.quality for r in labels.collect()}

@@ -7,10 +7,10 @@ counts, the numbers of different contexts and words: an expression that only cop
 shared backoff, which is the same in both models and adds nothing: so rare words don't add up to noise in long texts.
 
 Counts cover every labelled training row of different text (copies would count one writer's words again and again).
-They are summed in each task before the shuffle, so a hot word is one row a task. Only pairs of the toxic rows are
-shuffled; ordinary rows are then counted for the pairs kept. The model that is broadcast is bounded by ``MOST``.
+They are summed in each task before the shuffle, so a hot word is one row a task. Pairs of both classes are counted, and
+all that toxic rows hold are tested. The model is broadcast in slices of ``MOST``, so a larger one takes more passes.
 The comparison is turned into a probability by a logistic regression on the normalised difference and the number of
-words, fitted on at most about ``CALIBRATION`` rows of a fold of the training texts that the counts leave out.
+words, fitted on at most about ``CALIBRATION`` rows of a fold of the training texts and a model without that fold.
 
 Training rows are those whose crc32 of the id as text, modulo ``FOLDS``, is not 0. Scores depend on the text alone.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -36,7 +37,7 @@ WORD = re.compile(r"[^\W\d_]+")
 DISCOUNT, FOLDS, STEMS = 0.75, 5, (6, 4)
 #: Deviations from chance that tell the classes apart; toxic rows that a word and a pair need; toxic words that a stem needs.
 SIGMAS, ROWS, PAIR_ROWS, TYPES = 4.0, 3, 5, 5
-#: Entries of the broadcast model at most, for words, stems and pairs each; training rows of the regression.
+#: Entries of a slice of the broadcast model, about, for words, stems and pairs each; training rows of the regression.
 MOST, CALIBRATION = 150_000, 20_000
 FLUSH = 100_000
 
@@ -56,53 +57,52 @@ def _words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def tally(train: DataFrame, kept=None) -> DataFrame:
+def tally(train: DataFrame) -> DataFrame:
     """(kind, gram, toxic, ordinary, rows, orows): kind 0 are all rows, 1 words, 2 pairs; rows, orows: rows that hold it.
 
-    Without ``kept`` all words, and the pairs of toxic rows; else only the kept pairs (a broadcast set) of ordinary rows.
+    The same counts without fold 0 are in columns whose names end in ``_fit``.
     """
+    names = ("toxic", "ordinary", "rows", "orows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary, rows, orows = Counter(), Counter(), Counter(), Counter()
+        held = [[Counter() for _ in names] for _ in range(2)]
 
-        def out():
-            grams = list(toxic.keys() | ordinary.keys())
-            made = [[2 if " " in g else 1 if g else 0 for g in grams], grams, *([c[g] for g in grams] for c in (toxic, ordinary, rows, orows))]
-            for c in (toxic, ordinary, rows, orows):
+        def out(part):
+            grams = list(held[part][0].keys() | held[part][1].keys())
+            made = [[part] * len(grams), [2 if " " in g else 1 if g else 0 for g in grams], grams, *([c[g] for g in grams] for c in held[part])]
+            for c in held[part]:
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["kind", "gram", "toxic", "ordinary", "rows", "orows"])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["part", "kind", "gram", *names])
 
-        pairs_kept = kept.value if kept is not None else None
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _words(text)
-                if pairs_kept is not None:
-                    ordinary.update([" ".join(x) for x in pairwise(words) if x in pairs_kept])
-                elif label:
-                    pairs = list(map(" ".join, pairwise(words)))
-                    toxic.update(words)
-                    toxic.update(pairs)
-                    rows.update({*words, *pairs})
-                    toxic[""] += 1
-                else:
-                    ordinary.update(words)
-                    orows.update(set(words))
-                    ordinary[""] += 1
+            for text, label, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                part, words = int(fold != 0), _words(text)
+                toxic, ordinary, rows, orows = held[part]
+                said, having = (toxic, rows) if label else (ordinary, orows)
+                pairs = list(map(" ".join, pairwise(words)))
+                said.update(words)
+                said.update(pairs)
+                having.update({*words, *pairs})
+                said[""] += 1
                 if len(toxic) + len(ordinary) > FLUSH:
-                    yield out()
-        if toxic or ordinary:
-            yield out()
+                    yield out(part)
+        for part in range(2):
+            if held[part][0] or held[part][1]:
+                yield out(part)
 
     short_batches(train.sparkSession)
-    made = train.select("text", "toxic").mapInArrow(run, "kind int, gram string, toxic bigint, ordinary bigint, rows bigint, orows bigint")
-    return made.groupBy("kind", "gram").agg(*(F.sum(x).alias(x) for x in ("toxic", "ordinary", "rows", "orows")))
+    made = train.select("text", "toxic", "fold").mapInArrow(run, "part int, kind int, gram string, toxic bigint, ordinary bigint, rows bigint, orows bigint")
+    return made.groupBy("kind", "gram").agg(*(F.sum(x).alias(x) for x in names), *(F.sum(F.col(x) * F.col("part")).alias(f"{x}_fit") for x in names))
 
 
-def fit(train: DataFrame) -> dict | None:
-    """The model: log ratios by word, by stem and by pair; None without rows of both classes."""
-    spark = train.sparkSession
-    counts = materialised(tally(train), "counts")
-    pairs = counts.where("kind = 2").withColumn("first", F.substring_index("gram", " ", 1)).withColumn("second", F.substring_index("gram", " ", -1))
+def fit(counts: DataFrame) -> DataFrame | None:
+    """The model: (kind, gram, v), what each word (1), pair (2) and stem (3) adds to a text's log ratio; None without rows of both classes.
+
+    A word's value replaces its stem's, a longer stem's the shorter one's and a pair's its second word's: what is
+    replaced is taken off here, so that values only add up and any part of the model can be summed on its own.
+    """
+    counts = counts.where("toxic + ordinary > 0")
+    pairs = counts.where("kind = 2 and toxic > 0").withColumn("first", F.substring_index("gram", " ", 1)).withColumn("second", F.substring_index("gram", " ", -1))
     before = pairs.groupBy(F.col("second").alias("gram")).agg(F.count("*").alias("contexts"))
     words = counts.where("kind = 1").join(before, "gram", "left")
     # rows count as often as the words before it differ: what only copies of one text say is said once
@@ -124,53 +124,48 @@ def fit(train: DataFrame) -> dict | None:
 
     in_rows = counts.where("kind = 0").first()
     share = in_rows.toxic / (in_rows.toxic + in_rows.ordinary)
-    top = lambda df, by: {r.gram: r.v for r in df.orderBy(F.desc(by), "gram").limit(MOST).select("gram", "v").collect()}
     enough = (F.col("said") >= ROWS) | (F.col("rows") < (F.col("rows") + F.col("orows")) * share)
-    word = top(words.where(told("said", "orows", share) & enough).withColumn("v", log_ratio(F.col("toxic"), F.col("ordinary"), nt, no, gt, go)), F.greatest(F.col("said"), F.col("ordinary") / 100))
-    stems = None
-    for k in STEMS:
-        one = words.where(F.length("gram") > k).groupBy(F.substring("gram", 1, k).alias("gram")).agg(F.sum("said").alias("t"), F.sum("orows").alias("o"), F.count_if(F.col("said") > 0).alias("types"))
-        stems = one if stems is None else stems.union(one)
+    word = words.where(told("said", "orows", share) & enough).select("gram", log_ratio(F.col("toxic"), F.col("ordinary"), nt, no, gt, go).alias("own"))
     st, so = words.agg(F.sum("said"), F.sum("orows")).first()
-    stems = stems.where((F.col("types") >= TYPES) & told("t", "o", st / (st + so)))
-    stem = top(stems.withColumn("v", log_ratio(F.col("t"), F.col("o"), st, so, d * 0.1, d * 0.1)), F.col("t"))
-    after = pairs.groupBy("first").agg(F.count("*").alias("followers"))
-    heard = words.where(F.col("contexts") >= PAIR_ROWS).select(F.col("gram").alias("second"))
-    kept = pairs.where(F.col("rows") >= PAIR_ROWS).join(heard, "second").join(after.where(F.col("followers") >= PAIR_ROWS).select("first"), "first").orderBy(F.desc("rows"), "gram").limit(MOST)
-    kept = kept.join(after, "first").join(words.select(F.col("gram").alias("first"), F.col("toxic").alias("first_t"), F.col("ordinary").alias("first_o")), "first")
-    kept = [r for r in kept.select("gram", "toxic", "first_t", "first_o", "followers").collect()]
-    # an ordinary count of a kept pair only
-    known = spark.sparkContext.broadcast({tuple(r.gram.split(" ")) for r in kept})
-    seen = {r.gram: r.ordinary for r in tally(train.where("toxic = 0"), known).collect()} if kept else {}
-    one = {r.gram: (r.toxic, r.ordinary) for r in words.join(F.broadcast(spark.createDataFrame([(x,) for x in {r.gram.split(" ")[1] for r in kept}], "gram string")), "gram").collect()} if kept else {}
-    pair: dict[str, dict[str, float]] = {}
-    for r in kept:
-        first, second = r.gram.split(" ")
-        both = r.toxic + seen.get(r.gram, 0)
-        if abs(r.toxic - both * nt / n) < SIGMAS * (both * nt / n * no / n) ** 0.5:
-            continue
-        t, o = one[second]
-        shared = (t + o) / n
-        back = min(1.0, d * r.followers / r.first_t)  # shared by both classes
-        pt = max(r.toxic - d, 0) / r.first_t + back * (max(t - d, 0) / nt + gt * shared)
-        po = max(seen.get(r.gram, 0) - d, 0) / max(r.first_o, 1) + back * (max(o - d, 0) / no + go * shared)
-        pair.setdefault(second, {})[first] = float(np.log(pt / po))
-    return {"word": word, "stem": stem, "pair": pair}
+    valued, stems = words.join(word, "gram", "left"), None
+    inherited = F.lit(0.0)
+    for k in sorted(STEMS):  # shorter ones first
+        one = words.where(F.length("gram") > k).groupBy(F.substring("gram", 1, k).alias("stem")).agg(F.sum("said").alias("t"), F.sum("orows").alias("o"), F.count_if(F.col("said") > 0).alias("types"))
+        one = materialised(one.where((F.col("types") >= TYPES) & told("t", "o", st / (st + so))).select("stem", log_ratio(F.col("t"), F.col("o"), st, so, d * 0.1, d * 0.1).alias("v")), "stems")
+        valued = valued.join(one.select(F.col("stem").alias(f"stem{k}"), F.col("v").alias(f"v{k}")), (F.substring("gram", 1, k) == F.col(f"stem{k}")) & (F.length("gram") > k), "left")
+        inherited = F.coalesce(F.col(f"v{k}"), inherited)
+        entry = one
+        for j in (j for j in sorted(STEMS) if j < k):
+            less = stems.where(F.length("gram") == j).select(F.col("gram").alias("short"), F.col("v").alias("less"))
+            entry = entry.join(less, F.substring("stem", 1, j) == F.col("short"), "left").select("stem", (F.col("v") - F.coalesce("less", F.lit(0.0))).alias("v"))
+        entry = entry.select(F.lit(3).alias("kind"), F.col("stem").alias("gram"), "v")
+        stems = entry if stems is None else stems.unionByName(entry)
+    valued = materialised(valued.withColumn("inherited", inherited).withColumn("value", F.coalesce("own", "inherited")).select("gram", "toxic", "ordinary", "contexts", "own", "inherited", "value"), "values")
+    after = pairs.groupBy("first").agg(F.count("*").alias("followers")).where(F.col("followers") >= PAIR_ROWS)
+    heard = valued.where(F.col("contexts") >= PAIR_ROWS).select(F.col("gram").alias("second"), F.col("toxic").alias("t"), F.col("ordinary").alias("o"), "value")
+    kept = pairs.where(F.col("rows") >= PAIR_ROWS).where(told("toxic", "ordinary", nt / n)).join(heard, "second").join(after, "first")
+    kept = kept.join(valued.select(F.col("gram").alias("first"), F.col("toxic").alias("first_t"), F.col("ordinary").alias("first_o")), "first")
+    t, o, shared = F.col("t"), F.col("o"), (F.col("t") + F.col("o")) / F.lit(float(n))
+    back = F.least(F.lit(1.0), d * F.col("followers") / F.col("first_t"))  # shared by both classes
+    pt = F.greatest(F.col("toxic") - d, F.lit(0.0)) / F.col("first_t") + back * (F.greatest(t - d, F.lit(0.0)) / nt + gt * shared)
+    po = F.greatest(F.col("ordinary") - d, F.lit(0.0)) / F.greatest(F.col("first_o"), F.lit(1)) + back * (F.greatest(o - d, F.lit(0.0)) / no + go * shared)
+    made = valued.where("own is not null").select(F.lit(1).alias("kind"), "gram", (F.col("own") - F.col("inherited")).alias("v"))
+    made = made.unionByName(kept.select(F.lit(2).alias("kind"), "gram", (F.log(pt / po) - F.col("value")).alias("v"))).unionByName(stems)
+    return materialised(made, "model")
 
 
 class Ratio(dict):
-    """Word -> log ratio. A word that isn't in the model takes its longest stem's, else 0; both are kept, bounded."""
+    """Word -> what it and its stems add, kept for words met, bounded."""
 
     def __init__(self, model: dict, keep: int = 150_000):
-        super().__init__(model["word"])
+        super().__init__()
         self.model, self.keep = model, keep
 
     def __missing__(self, word: str) -> float:
         stem = self.model["stem"]
-        v = next((stem[s] for k in STEMS if len(word) > k and (s := word[:k]) in stem), 0.0)
-        if len(self) > self.keep + len(self.model["word"]):
+        v = self.model["word"].get(word, 0.0) + sum(stem.get(word[:k], 0.0) for k in STEMS if len(word) > k)
+        if len(self) > self.keep:
             self.clear()
-            self.update(self.model["word"])
         self[word] = v
         return v
 
@@ -180,11 +175,45 @@ def compare(text: str | None, ratio: Ratio) -> tuple[float, int]:
     words = _words(text)
     total, pair = sum(map(ratio.__getitem__, words)), ratio.model["pair"]
     for i, heads in enumerate(map(pair.get, words)):
-        if heads is not None and i and (v := heads.get(words[i - 1])) is not None:
-            total += v - ratio[words[i]]
+        if heads is not None and i:
+            total += heads.get(words[i - 1], 0.0)
     return float(total), len(words)
 
 
+def compared(docs: DataFrame, text_col: str, model: DataFrame, total: str, size: str) -> DataFrame:
+    """``docs`` with the sum of the log ratios and the number of words.
+
+    A model of more than ``MOST`` entries of a kind is broadcast in slices, each summed over all different texts.
+    """
+    spark = docs.sparkSession
+    most = max([r["count"] for r in model.groupBy("kind").count().collect()], default=0)
+    slices = max(1, -(-most // MOST))
+
+    def summed(df: DataFrame, i: int) -> DataFrame:
+        part: dict[str, dict] = {"word": {}, "stem": {}, "pair": {}}
+        for r in model.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i).toLocalIterator():
+            if r.kind == 2:
+                first, second = r.gram.split(" ")
+                part["pair"].setdefault(second, {})[first] = r.v
+            else:
+                part["word" if r.kind == 1 else "stem"][r.gram] = r.v
+        sent = spark.sparkContext.broadcast(part)
+
+        def sums():
+            ratio = Ratio(sent.value)
+            return lambda texts: tuple(zip(*(compare(x, ratio) for x in texts), strict=True)) if texts else ([], [])
+
+        return append(df, text_col, [(total, "double"), (size, "bigint")], sums)
+
+    if slices == 1:
+        return summed(docs, 0)
+    key = free_name(docs, "_text_hash")
+    texts = docs.select(F.xxhash64(text_col).alias(key), text_col)
+    sums = [materialised(summed(texts, i).groupBy(key).agg(F.max(total).alias(total), F.max(size).alias(size)), "sums") for i in range(slices)]
+    every = reduce(DataFrame.unionByName, sums).groupBy(key).agg(F.sum(total).alias(total), F.max(size).alias(size))
+    return docs.withColumn(key, F.xxhash64(text_col)).join(every, key).select(*docs.columns, total, size)
+
+
 def features(total: np.ndarray, n: np.ndarray, centre: float) -> np.ndarray:
     """Of the length-normalised difference: itself, by the root of the length, by the length (bounded); the length."""
     n = np.maximum(n, 1).astype(float)
@@ -205,38 +234,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a toxicity score between 0 and 1 (column ``name``)."""
-    train = training(docs, labels, id_col, text_col)
-    model = fit(train.where("fold <> 0"))
+    train = materialised(training(docs, labels, id_col, text_col), "training")
+    counts = materialised(tally(train), "counts")
+    plain = ("toxic", "ordinary", "rows", "orows")
+    model = fit(counts.select("kind", "gram", *(F.col(f"{x}_fit").alias(x) for x in plain)))
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def sums():
-        ratio = Ratio(sent.value)
-        return lambda texts: tuple(zip(*(compare(x, ratio) for x in texts), strict=True)) if texts else ([], [])
-
     unseen = train.where("fold = 0")
     n = unseen.count()
     share = min(1.0, CALIBRATION / max(n, 1))
     few = unseen.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = append(few, "text", [("total", "double"), ("n", "bigint")], sums).select("total", "n", "toxic").collect()
+    rows = compared(few, "text", model, "total", "n").select("total", "n", "toxic").collect()
     total, size, y = (np.array([r[i] for r in rows], float) for i in range(3))
     if not len(y):
         return docs.withColumn(name, F.lit(0.0))
     centre = float(np.median((total / np.maximum(size, 1))[y == 0])) if (y == 0).any() else 0.0
-    weights = logistic(features(total, size, centre), (y > 0).astype(float))
-
-    def score():
-        make = sums()
-
-        def of(texts):
-            total, n = make(texts)
-            z = features(np.array(total, float), np.array(n, float), centre) @ weights
-            return [(1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()]
-
-        return of
-
-    return append(docs, text_col, [(name, "double")], score)
+    weights = logistic(features(total, size, centre), (y > 0).astype(float)).tolist()
+    total, size = free_name(docs, "_total"), free_name(docs, "_size")
+    n = F.greatest(F.col(size), F.lit(1)).cast("double")
+    mean = F.col(total) / n - centre
+    x = (F.lit(1.0), 10 * mean, mean * F.sqrt(n), F.least(F.greatest(mean * n, F.lit(-20.0)), F.lit(40.0)) / 5, F.log1p(n) / 3)
+    z = sum((w * c for w, c in zip(weights[1:], x[1:], strict=True)), F.lit(weights[0]))
+    score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
+    return compared(docs, text_col, model, total, size).select(*docs.columns, score.alias(name))
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
