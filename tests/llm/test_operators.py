@@ -449,6 +449,21 @@ def test_toxicity_keeps_more_than_a_slice(spark, labelled, monkeypatch):
     assert sliced == pytest.approx(whole, abs=1e-9)
 
 
+def test_toxicity_counts_the_calibration_fold(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    train = toxicity.training(docs, labels, "doc_id", "text")
+    fitted, fit = [], toxicity.fit
+
+    def watched(counts):
+        r = counts.where("kind = 0").first()
+        fitted.append(r.toxic + r.ordinary)
+        return fit(counts)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    toxicity.query(docs, labels)
+    assert fitted == [train.where("fold <> 0").count(), train.count()]
+
+
 def test_quality_on_held_out_rows(spark, labelled, odd):
     docs, labels = labelled
     truth = {r.doc_id: r.quality for r in labels.collect()}

@@ -250,6 +250,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return docs.withColumn(name, F.lit(0.0))
     centre = float(np.median((total / np.maximum(size, 1))[y == 0])) if (y == 0).any() else 0.0
     weights = logistic(features(total, size, centre), (y > 0).astype(float)).tolist()
+    # the regression is fitted on texts that its counts leave out; what scores counts all of them
+    model = fit(counts.select("kind", "gram", *plain))
     total, size = free_name(docs, "_total"), free_name(docs, "_size")
     n = F.greatest(F.col(size), F.lit(1)).cast("double")
     mean = F.col(total) / n - centre
