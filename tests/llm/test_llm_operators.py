@@ -452,18 +452,112 @@ def test_toxicity_keeps_more_than_a_slice(spark, labelled, monkeypatch):
 def test_toxicity_counts_the_calibration_fold(spark, labelled, monkeypatch):
     docs, labels = labelled
     train = toxicity.training(docs, labels, "doc_id", "text")
-    fitted, fit = [], toxicity.fit
+    fitted, model = [], toxicity.model
 
-    def watched(counts):
-        r = counts.where("kind = 0").first()
-        fitted.append(r.toxic + r.ordinary)
-        return fit(counts)
+    def watched(found, texts, whole):
+        fitted.append(sum(texts))
+        return model(found, texts, whole)
 
-    monkeypatch.setattr(toxicity, "fit", watched)
+    monkeypatch.setattr(toxicity, "model", watched)
     toxicity.query(docs, labels)
     assert fitted == [train.where("fold <> 0").count(), train.count()]
 
 
+def slow_models(rows, kinds):
+    """The two models of (text, toxic) rows straight from the formulas: a function (k, w, v) -> P_k(w | v), and the words."""
+    from collections import Counter, defaultdict
+
+    d, stem = toxicity.D, lambda w: w[: toxicity.STEM] if len(w) > toxicity.STEM and w != "</s>" else None
+    c, texts_of, pair_texts = [Counter(), Counter()], defaultdict(set), defaultdict(set)
+    for i, (text, k) in enumerate(rows):
+        seq = ["<s>", *toxicity.words_of(text), "</s>"]
+        for v, w in zip(seq, seq[1:], strict=False):
+            c[k][v, w] += 1
+            pair_texts[v, w].add(i)
+            if w != "</s>":
+                texts_of[w].add(i)
+    share = sum(k for _, k in rows) / len(rows)
+
+    def told(found, least):
+        t = sum(rows[i][1] for i in found)
+        return len(found) >= least and len({kinds[i] for i in found}) >= toxicity.KINDS and bool(toxicity.apart(t, len(found) - t, share))
+
+    before = [Counter(w for _, w in c[k]) for k in (0, 1)]
+    vocabulary = set(before[0]) | set(before[1])
+    heads = [Counter(), Counter()]
+    for k in (0, 1):
+        for (v, _), n in c[k].items():
+            heads[k][v] += n
+    total = sum(sum(x.values()) for x in before)
+    words = {w for w in vocabulary if told(texts_of[w], toxicity.ROWS)}
+    by_stem = defaultdict(list)
+    for w in vocabulary - {"</s>"}:
+        if stem(w):
+            by_stem[stem(w)].append(w)
+
+    def stem_told(own):
+        t, o = (sum(sum(rows[i][1] == k for i in texts_of[w]) for w in own) for k in (1, 0))
+        return len(own) >= toxicity.TYPES and t + o >= toxicity.ROWS and len({kinds[i] for w in own for i in texts_of[w]}) >= toxicity.KINDS and bool(toxicity.apart(t, o, share))
+
+    stems = {s for s, own in by_stem.items() if stem_told(own)}
+    pairs = {p for p in set(c[0]) | set(c[1]) if told(pair_texts[p], toxicity.PAIR_ROWS)}
+    n = {w: 1 if w in words or stem(w) in stems else before[0][w] + before[1][w] + 1 for w in vocabulary}
+    every = sum(n.values()) + 1
+    S = lambda w: n.get(w, 1) / every
+    up = lambda x: max(x - d, 0)
+    M = [{s: sum(before[k][w] for w in by_stem[s]) for s in stems} for k in (0, 1)]
+
+    def weights(expl, both):
+        left = 1 - both
+        return [left if sum(e.values()) else 1.0 for e in expl]
+
+    m = [{s: up(M[k][s]) for s in stems} for k in (0, 1)]
+    left = weights(m, sum(up(M[0][s] + M[1][s]) for s in stems) / total)
+    e = [{w: up(before[k][w]) for w in words} for k in (0, 1)]
+    rest = weights(e, sum(up(before[0][w] + before[1][w]) for w in words) / total)
+    mass = lambda x, key, weight: (1 - weight) * x.get(key, 0) / max(sum(x.values()), 1e-9)
+    B = lambda k, w: (mass(m[k], stem(w), left[k]) * S(w) / sum(S(x) for x in by_stem[stem(w)]) if stem(w) in stems and w in vocabulary else 0) + left[k] * S(w)
+    U = lambda k, w: mass(e[k], w, rest[k]) + rest[k] * B(k, w)
+
+    def P(k, w, v):
+        own = [{x: up(c[j][v, x]) for u, x in pairs if u == v} for j in (0, 1)]
+        both = sum(up(c[0][v, x] + c[1][v, x]) for u, x in pairs if u == v) / max(heads[0][v] + heads[1][v], 1)
+        weight = weights(own, both)[k]
+        return mass(own[k], w, weight) + weight * U(k, w)
+
+    return P, vocabulary, pairs, words, stems
+
+
+@pytest.mark.parametrize("share", [0.1, 1e-9])
+def test_toxicity_is_the_formulas_likelihoods_and_sums_to_one(spark, monkeypatch, share):
+    monkeypatch.setattr(toxicity, "SHARE", share)  # the lesser deals all words out
+    rng = random.Random(4)
+    plain = ["the", "of", "house", "river", "green", "walks", "slow"]
+    texts = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        w = rng.choices(plain, k=rng.randint(4, 14))
+        for _ in range(2 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "you fool", "snarl" + rng.choice("abcdefgh")]))
+        texts.append((" ".join(w) + f". Sentence of its own number {i} stands here", int(toxic)))
+    train = spark.createDataFrame([(i, t, k, 1 + i % 2, i % toxicity.BITS) for i, (t, k) in enumerate(texts)], "id bigint, text string, toxic int, fold int, kind int")
+    found, n = toxicity.count(train)
+    assert n[True] == (40, 120) == n[False]
+    entries, constant = toxicity.model(found, n[True], True)
+    P, vocabulary, pairs, told, stems = slow_models(texts, [i % toxicity.BITS for i in range(160)])
+    assert pairs and told and "snar" in stems
+    for v in ("<s>", "you", "the", "idiot", "unseen"):
+        for k in (0, 1):
+            assert sum(P(k, w, v) for w in vocabulary) + P(k, "unseen", v) == pytest.approx(1)
+    asked = [t for t, _ in texts[:12]] + ["", "unseen words only", "you fool", "snarla snarlz the"]
+    got = toxicity.compared(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), "text", entries, "total", "n").collect()
+    for r in got:
+        seq = ["<s>", *toxicity.words_of(r.text), "</s>"]
+        want = sum(np.log(P(1, w, v) / P(0, w, v)) for v, w in zip(seq, seq[1:], strict=False) if w in vocabulary and (v == "<s>" or v in vocabulary))
+        if all(w in vocabulary for w in seq[1:]):
+            assert r.total + constant * r.n == pytest.approx(want, abs=1e-9)
+
+
 def test_quality_on_held_out_rows(spark, labelled, odd):
     docs, labels = labelled
     truth = {r.doc_id: r.quality for r in labels.collect()}
