@@ -154,11 +154,11 @@ def test_simhash_stars_are_brute_force(spark, hot):
     base = rng.integers(-(1 << 62), 1 << 62, 20)
     fps = sorted({int(np.int64(b) ^ np.array([sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, 5)), replace=False))], np.uint64).view(np.int64)[0]) for b in base for _ in range(12)})
     classes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
-    got = connected_components(simhash.near_stars(classes, hot=hot))
+    got = simhash.lowest(classes, "fp", simhash.near_stars(classes, hot=hot)).collect()
     u = np.array(fps, np.int64).view(np.uint64)
     want = components(len(fps), np.argwhere(np.triu(np.bitwise_count(u[:, None] ^ u[None]) <= 3, 1)).tolist())
-    found = {r.node: r.component for r in got.collect()}
-    assert [found.get(i, i) for i in range(len(fps))] == want
+    found = {r.fp: r.low for r in got}
+    assert [found[f] for f in fps] == want
 
 
 def test_simhash_of_odd_rows(spark, odd):
@@ -195,10 +195,29 @@ def test_near_texts_are_found_down_to_the_similarity(spark, odd):
     assert simhash.deduplicate_texts(odd.limit(0)).count() == 0
 
 
-def test_near_texts_of_one_large_group(spark):
+def test_vertical_counts_are_distances():
+    rng = np.random.default_rng(3)
+    for n in (1, 64, 200):
+        x = np.array([[sum(1 << int(b) for b in rng.choice(64, min(64, int(rng.integers(0, 40))), replace=False)) for _ in range(simhash.LANES)] for _ in range(n)], np.uint64)
+        for radius in (0, 5, 72, 100):
+            assert simhash.within(x, radius).tolist() == (np.bitwise_count(x).sum(1) <= radius).tolist()
+
+
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    rows = [(1, words(40, 1)), (1, words(40, 2)), (2, words(40, 1)), (3, words(40, 3)), (3, words(40, 3)), (None, words(40, 1)), (None, words(40, 1))]
+    docs = spark.createDataFrame([(i, t, "x", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    for f in (simhash.deduplicate, simhash.deduplicate_texts):
+        for n in (1, 5):
+            kept = sorted((r.doc_id or 0, r.text) for r in f(docs.repartition(n)).collect())
+            assert kept == sorted([(0, words(40, 1))] * 2 + [(1, words(40, 1)), (1, words(40, 2)), (3, words(40, 3))])
+    assert len({tuple(sorted(r.n_chars for r in simhash.deduplicate_texts(docs.repartition(n)).collect())) for n in (1, 2, 5)}) == 1
+
+
+@pytest.mark.parametrize("hot", [65_536, 20])
+def test_near_texts_of_one_large_group(spark, hot):
     base = words(150, 77).split()
     texts = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in range(150)] + [words(60, 500 + i) for i in range(30)]
-    got = {r.id: r.component_id for r in simhash.near_texts(docs_of(spark, texts)).collect()}
+    got = {r.id: r.component_id for r in simhash.near_texts(docs_of(spark, texts), hot=hot).collect()}
     assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in range(150, 180))
 
 

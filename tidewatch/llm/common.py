@@ -82,9 +82,11 @@ def append(df: DataFrame, text_col: str, fields: list[tuple[str, str]], start: C
     ``start()`` runs once a task and returns a function from a list of texts (or None) to one list for each field.
     The fields' names must not clash with columns of ``df``.
     """
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n, _ in fields}:
+        raise ValueError(f"columns of these names exist already: {sorted(clash)}")
     short_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(k), True) for n, k in fields)])
-    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[k] for _, k in fields]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[k] for _, k in fields]
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

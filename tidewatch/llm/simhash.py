@@ -12,24 +12,29 @@ in the shuffle (``HOT``) and within a task (``LARGE``), so a hot bucket is neith
 
 A bucket gives a star of links for each group of linked classes rather than all its pairs.
 
-A radius of 3 is far too narrow for copies that share but 0.8 of their shingles (some 10 of 64 bits differ), and at the
-radius that they need the bands are too short to tell texts apart. So ``near_texts``, which the pipeline uses, takes its
-candidates from bands of minima over five-word shingles and links those whose sets of shingles share ``SIMILAR`` or more.
-
-Defined results: null, empty and blank texts have fingerprint zero, which links like any other; fewer words than a
-shingle give one shingle of all words; repeated rows share a class; an empty table gives an empty result.
+A radius of 3 of 64 bits is far too narrow for copies that share but 0.8 of their shingles. ``near_texts``, which the
+pipeline uses, has fingerprints of 256 bits over the different five-word shingles, of which some 39 differ at that similarity, and
+a radius of ``WIDE``, which all but about one in 10 000 of such pairs meet. Its buckets are bands of minima over the shingles' hashes. In
+each bucket all members are compared with a lead in the same bit-sliced way, what is beyond the radius is abandoned and gets a lead of its own,
+and what is within it is linked if the sets of shingles, compared exactly, share ``SIMILAR`` or more.
+
+Defined results: null, empty and blank texts have fingerprint zero (no shingles), which links like any other; fewer words than a
+shingle give one shingle of all words; repeated rows share a class; an empty table gives an empty result. Rows that share
+an id, but not a class, are documents of their own. Deduplication keeps rows without an id as they are; of
+a group's rows with the smallest id and equal texts it keeps the one whose columns have the least hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, connected_components, few_or_not, materialised, short_batches
+from .common import append, connected_components, few_or_not, free_name, materialised, short_batches
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 #: Classes of a bucket beyond which it is split in the shuffle; and within a task.
@@ -38,8 +43,10 @@ STEP = 1 << 16
 #: Near texts: words of a shingle, the Jaccard similarity that links, and bands of so many minima each: two texts of that
 #: similarity share one with a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
 WORDS, SIMILAR, MIN_BANDS, MINIMA = 5, 0.8, 16, 5
-#: Rows of a band that are compared together at least, where there are so many.
-TOGETHER = 1 << 14
+#: Words of 64 bits of a wide fingerprint, and its radius.
+LANES, WIDE = 4, 72
+#: Rows of a band that are compared together at least, where there are so many; pairs of a lead that one task verifies.
+TOGETHER, PAIRS = 1 << 14, 2_048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -191,11 +198,31 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, free: tuple[tuple[int, int]
                 yield at + order[a], at + order[b]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The sorted rows' columns in larger parts, none of which ends within a group of the first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append([np.asarray(c) for c in b.columns])
+        n += b.num_rows
+        if n < TOGETHER:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0))
+        if len(edge):
+            last = int(edge[-1]) + 1
+            yield [c[:last] for c in columns]
+            columns = [c[last:] for c in columns]
+        held, n = [columns], len(columns[0]) if len(edge) else n // 2  # a group that goes on is joined again when it has doubled
+    if held and sum(len(x[0]) for x in held):
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def near_stars(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(a, b): stars that connect the classes (fp, rep) linked directly or through others of a bucket."""
+    """(a, b): stars that connect the fingerprints (fp) linked directly or through others of a bucket."""
     cut = bands(((0, BITS),), radius + 1)
     mask = lambda f, r: F.shiftrightunsigned(f, r[0][0]).bitwiseAND(F.lit((1 << (r[0][1] - r[0][0])) - 1))
-    wide = classes.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), mask("fp", r).alias("key")) for i, r in enumerate(cut)))).alias("x")).select("fp", "rep", "x.band", "x.key")
+    wide = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), mask("fp", r).alias("key")) for i, r in enumerate(cut)))).alias("x")).select("fp", "x.band", "x.key")
     heavy = [(r.band, r.key) for r in wide.groupBy("band", "key").count().where(F.col("count") > hot).collect()]  # fewer than rows / hot
     none = F.struct(F.lit(0).alias("sub"), F.lit(0).cast("bigint").alias("subkey"))
     wide = wide.withColumn("y", none)
@@ -214,10 +241,10 @@ def near_stars(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
         for i, parts in again.items():
             sub = sub.when((F.col("band") == i) & F.col("heavy"), F.array(*(F.struct(F.lit(j + 1).alias("sub"), packed(r).alias("subkey")) for j, r in enumerate(parts))))
         wide = wide.drop("y").join(marks, ["band", "key"], "left").withColumn("y", F.explode(sub.otherwise(F.array(none))))
-    wide = wide.select("band", "key", "y.sub", "y.subkey", "fp", "rep")
+    wide = wide.select("band", "key", "y.sub", "y.subkey", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(keys, fps, reps):
+        def solve(*keys, fps):
             for band in np.unique(keys[0]):
                 for sub in np.unique(keys[2]):
                     at = np.flatnonzero((keys[0] == band) & (keys[2] == sub))
@@ -230,53 +257,64 @@ def near_stars(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
                         rest = tuple((b, b + 1) for b in range(BITS) if b not in used)
                     group = np.cumsum(np.r_[0, (keys[1][at][1:] != keys[1][at][:-1]) | (keys[3][at][1:] != keys[3][at][:-1])])
                     for a, b in bucket_links(fps[at], group, rest, radius):
-                        yield pa.RecordBatch.from_arrays([pa.array(reps[at[a]]), pa.array(reps[at[b]])], names=["a", "b"])
-
-        held = None
-        for b in batches:
-            now = [np.asarray(c) for c in b.columns]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if len(held[0]) < TOGETHER:
-                continue
-            same = np.all([c[1:] == c[:-1] for c in held[:4]], axis=0)
-            last = int(np.flatnonzero(~same)[-1]) + 1 if len(held[0]) > 1 and not same.all() else 0
-            if last:  # all but the last bucket are whole
-                done, held = [c[:last] for c in held], [c[last:] for c in held]
-                yield from solve(done[:4], done[4].view(np.uint64), done[5])
-        if held is not None and len(held[0]):
-            yield from solve(held[:4], held[4].view(np.uint64), held[5])
+                        yield pa.RecordBatch.from_arrays([pa.array(fps[at[a]].view(np.int64)), pa.array(fps[at[b]].view(np.int64))], names=["a", "b"])
+
+        for *keys, fps in whole_groups(batches, 4):
+            yield from solve(*keys, fps=fps.view(np.uint64))
 
     sorted_ = wide.repartition("band", "key", "sub", "subkey").sortWithinPartitions("band", "key", "sub", "subkey", "fp")
     return sorted_.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id_col, fp: bigint, component_id): the smallest id reachable by links, itself included."""
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("_t" if id_col == "t" else "t"))
-    text = narrow.columns[1]
-    fps = append(narrow, text, [("fp", "bigint")], lambda: lambda texts: [[fingerprint(x, shingle) for x in texts]]).select(id_col, "fp")
+def fingerprinted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(id, fp, low): the fingerprint of each row, and the smallest id of its group."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fps = append(narrow, "text", [("fp", "bigint")], lambda: lambda texts: [[fingerprint(x, shingle) for x in texts]]).select("id", "fp")
     fps = materialised(fps, "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    classes = materialised(classes, "classes")
-    of = connected_components(near_stars(classes.where("rep is not null"), radius)).withColumnRenamed("node", "rep").withColumnRenamed("component", "low")
-    named = classes.join(of, "rep", "left").select(F.col("fp").alias("class_fp"), F.coalesce("low", "rep").alias("component_id"))
-    return fps.join(named, F.col("fp") == F.col("class_fp")).select(id_col, "fp", "component_id")
-
+    classes = materialised(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    return fps.join(lowest(classes, "fp", near_stars(classes, radius)), "fp").select("id", "fp", "low")
 
-def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    stay = docs.join(few_or_not(lost), id_col, "left_anti").select(*docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():  # repeated ids: one row of each
-        stay = stay.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(stay.where(F.col(id_col).isNull()))
-    return stay
 
+def lowest(classes: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """(key, group, low): the group of the classes that links (a, b: keys) join, and its smallest id (rep)."""
+    of = materialised(connected_components(links).withColumnRenamed("node", key), "components")
+    low = of.join(classes, key).groupBy("component").agg(F.min("rep").alias("low"))
+    return classes.join(of, key, "left").join(low, "component", "left").select(key, F.coalesce("component", key).alias("group"), F.coalesce("low", "rep").alias("low"))
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each group stays: that with the smallest id, once. The columns of ``docs``.
 
-    Rows without an id stay as they are.
-    """
-    return _first_of_each(docs, near_duplicates(docs, id_col, text_col, **kw), id_col)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id_col, fp: bigint, component_id): the smallest id reachable by links, itself included."""
+    found = fingerprinted(docs, id_col, text_col, shingle, radius)
+    return found.select(F.col("id").alias(id_col), "fp", F.col("low").alias("component_id"))
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``groups``: (id, h: hash of the text, group) of the rows with an id."""
+    first = groups.groupBy("group").agg(F.min(F.struct("id", "h")).alias("x")).select("group", F.col("x.id").alias("first"), F.col("x.h").alias("first_h"))
+    of = materialised(groups.join(first, "group").groupBy("id", "h").agg(F.count("*").alias("n"), F.min((F.col("id") == F.col("first")) & (F.col("h") == F.col("first_h"))).alias("stays")), "first")
+    mark, key = free_name(docs, "_mark"), free_name(docs, "_h")
+    rows = docs.withColumn(key, F.xxhash64(text_col))
+    on = lambda x: (F.col(id_col) == F.col("id_")) & (F.col(key) == F.col("h_"))
+    these = lambda x: few_or_not(x.select(F.col("id").alias("id_"), F.col("h").alias("h_")))
+    stay = rows.join(these(of.where("not stays")), on(of), "left_anti")
+    again = of.where("stays and n > 1")
+    if again.limit(1).count():  # repeated rows
+        again = these(again)
+        one = Window.partitionBy(id_col, key).orderBy(F.xxhash64(*docs.columns))
+        repeated = stay.join(again, on(of), "left_semi").withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark)
+        stay = stay.join(again, on(of), "left_anti").unionByName(repeated)
+    return stay.select(*docs.columns)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each group stays: that with the smallest id, once. The columns of ``docs``."""
+    own = docs.where(F.col(id_col).isNotNull())
+    narrow = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    fps = append(narrow, "text", [("fp", "bigint")], lambda: lambda texts: [[fingerprint(x, shingle) for x in texts]]).select("id", "h", "fp")
+    fps = materialised(fps, "fingerprints")
+    classes = materialised(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    groups = fps.join(lowest(classes, "fp", near_stars(classes, radius)), "fp").select("id", "h", "group")
+    return _first_of_each(docs, groups, id_col, text_col)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -298,63 +336,166 @@ def min_bands(h: np.ndarray) -> list[int]:
     return (least.reshape(MIN_BANDS, MINIMA) * mix).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ok) of the pairs (a, b: keys of ``texts`` (h, text)): whether their shingles are that similar."""
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """The bits that over half of the shingles set, as signed words of 64 bits, each from another mixture of their hashes."""
+    total = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(h), STEP):
+        part = h[at : at + STEP]
+        words = np.stack([part if not i else ((x := part * np.uint64(0x9E3779B97F4A7C15 + 2 * i)) ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for i in range(LANES)], axis=1)
+        total += np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.int64).tolist()
+
+
+def within(differing: np.ndarray, radius: int = WIDE) -> np.ndarray:
+    """Whether at most ``radius`` bits are set in each row of words (n, LANES), counted vertically by carry-save adders."""
+    n, planes_of = len(differing), 64 * LANES
+    bits = np.zeros((-(-n // 64) * 64, planes_of), np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(differing).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    p = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+    digits = int(radius).bit_length()
+    begin = (1 << digits) - 1 - radius  # the count overflows where it passes the radius
+    alive = np.arange(p.shape[1])
+    full = ~np.uint64(0)
+    count = [np.full(len(alive), full if begin >> i & 1 else np.uint64(0)) for i in range(digits)]
+    over = np.zeros(len(alive), np.uint64)
+
+    def add(plane: np.ndarray, at: int) -> None:
+        nonlocal over
+        for i in range(at, digits):
+            count[i], plane = count[i] ^ plane, count[i] & plane
+        over |= plane
+
+    for k in range(0, planes_of - 2, 3):
+        a, b, c = (p[k + i][alive] for i in range(3))
+        ab = a ^ b
+        add(ab ^ c, 0)
+        add((a & b) | (ab & c), 1)
+        if k % 48 == 45:
+            keep = over != full
+            if not keep.any():
+                break
+            if keep.mean() < 0.75:
+                alive, over, count = alive[keep], over[keep], [x[keep] for x in count]
+    else:
+        for k in range(planes_of // 3 * 3, planes_of):
+            add(p[k][alive], 0)
+    out = np.zeros(p.shape[1], np.uint64)
+    out[alive] = ~over
+    return np.unpackbits(out.view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
+def leads(active: DataFrame, hot: int) -> DataFrame:
+    """(band, key, h, o, lead, whole): each member of a bucket with the first one within the radius of it that is a lead.
+
+    A lead is its own. Members without a lead among those before are the next lead, until all have one. A bucket of more than
+    ``hot`` members is dealt to several tasks by hash (not ``whole``), whose leads are then compared with each other.
+    """
+    crowd = active.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    crowd = few_or_not(crowd.select("band", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    dealt = active.join(crowd, ["band", "key"], "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("h", F.lit(7)), F.col("parts"))).otherwise(0).cast("int"))
+    dealt = dealt.select("band", "key", "part", "h", "o", F.col("parts").isNull().cast("int").alias("whole"), *(f"fp{i}" for i in range(LANES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, key, part, h, o, whole, *fps in whole_groups(batches, 3):
+            fp = np.stack(fps, axis=1).view(np.uint64)
+            group = np.cumsum(np.r_[0, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            lead, left = np.arange(len(h)), np.arange(len(h))
+            while len(left):
+                own = group[left]
+                first = np.r_[True, own[1:] != own[:-1]]
+                top = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                near = within(fp[left] ^ fp[top])
+                lead[left[near]] = top[near]
+                left = left[~near]
+            made = (band, key, h, o, h[lead], whole)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["band", "key", "h", "o", "lead", "whole"])
+
+    ordered = dealt.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "o")
+    return ordered.mapInArrow(run, "band int, key bigint, h bigint, o bigint, lead bigint, whole int")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) of the different pairs (a, b: keys of ``sets`` (h, shingles)): whether their shingles are that similar.
+
+    A task gets a's shingles once, and then those of its partners; many partners are dealt to several tasks.
+    """
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("of"), F.ceil(F.col("n") / PAIRS).cast("int").alias("parts"))
+    many = materialised(many, "parts")
+    crowd = few_or_not(many.where("parts > 1"))
+    part = F.pmod(F.xxhash64("b", F.lit(11)), F.coalesce("parts", F.lit(1))).cast("int")
+    partners = pairs.join(crowd, F.col("a") == F.col("of"), "left").select("a", part.alias("part"), "b").join(sets.withColumnRenamed("h", "b"), "b")
+    own = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, F.col("of") == F.col("h")).select(F.col("of").alias("a"), "part", F.lit(None).cast("bigint").alias("b"), "shingles")
+    dealt = own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(x), shingles(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            a, b, ok = [], [], []
+            for x, y, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                other = np.frombuffer(data, np.uint64)
+                if y is None:
+                    mine = other
+                    continue
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                a.append(x)
+                b.append(y)
+                ok.append(both >= similarity * (len(mine) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     short_batches(pairs.sparkSession)
-    with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+    return dealt.mapInArrow(run, "a bigint, b bigint, ok boolean")
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """(id, component_id) of the rows with an id: the smallest id reachable by links of similar texts, itself included.
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """(id, h, group, component_id) of the rows with an id: the text's hash, the group of linked texts and its smallest id.
 
-    In each bucket of a band all members are compared with one of them, the lead; those that aren't alike have a lead of
-    their own in the next round, until none are left. Leads differ between bands, and candidates grow with the members.
+    What isn't as similar to its lead as its fingerprint is near goes to another round, with the others of its bucket that
+    aren't, until none are left. Leads differ between bands. Equal texts are one class, and copies are never paired.
     """
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    names = [f"band{i}" for i in range(MIN_BANDS)]
-    signed = append(narrow, "text", [(x, "bigint") for x in names], lambda: lambda texts: list(zip(*(min_bands(shingles(x)) for x in texts), strict=True)) if texts else [[] for _ in names])
+    bands_, fps = [f"band{i}" for i in range(MIN_BANDS)], [f"fp{i}" for i in range(LANES)]
+
+    def sign(text):
+        s = shingles(text)
+        return [*min_bands(s), *wide_fingerprint(s)]
+
+    signed = append(narrow, "text", [(x, "bigint") for x in (*bands_, *fps)], lambda: lambda texts: list(zip(*map(sign, texts), strict=True)) if texts else [[] for _ in (*bands_, *fps)])
     signed = materialised(signed.drop("text"), "minima")
-    classes = materialised(signed.groupBy("h").agg(F.min("id").alias("rep"), *(F.min(x).alias(x) for x in names)), "classes")
-    wide = classes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(x).alias("key")) for i, x in enumerate(names)))).alias("x")).select("x.band", "x.key", "h", F.xxhash64("h", F.col("x.band") % 3).alias("o"))
+    classes = materialised(signed.groupBy("h").agg(F.min("id").alias("rep"), *(F.min(x).alias(x) for x in (*bands_, *fps))), "classes")
+    wide = classes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(x).alias("key")) for i, x in enumerate(bands_)))).alias("x")).select("x.band", "x.key", "h", F.xxhash64("h", F.col("x.band") % 3).alias("o"))
     crowded = wide.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    active = materialised(wide.join(crowded, ["band", "key"]), "crowded")
+    active = materialised(wide.join(crowded, ["band", "key"]).join(classes.select("h", *fps), "h"), "crowded")
     nodes = classes.join(active.select("h").distinct(), "h").select(F.col("h").alias("node_h"), F.col("rep").alias("node_id"))
-    texts = narrow.join(few_or_not(nodes), (F.col("id") == F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("h", "text").dropDuplicates(["h"])
-    texts = materialised(texts, "texts")
-    judged = None
+    texts = narrow.join(few_or_not(nodes), (F.col("id") == F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("h", "text")
+    sets = append(texts, "text", [("shingles", "binary")], lambda: lambda texts: [[shingles(x).tobytes() for x in texts]]).select("h", "shingles").dropDuplicates(["h"])
+    sets = materialised(sets, "shingles")
+    judged = []
     while True:
-        lead = active.groupBy("band", "key").agg(F.min("o").alias("lead")).join(active.select("band", "key", F.col("o").alias("lead"), F.col("h").alias("a")), ["band", "key", "lead"])
-        asked = materialised(active.join(lead, ["band", "key"]).where("h <> a").select("band", "key", "h", "o", F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")), "asked")
+        found = materialised(leads(active, hot), "leads")
+        asked = found.where("h <> lead").select("band", "key", "h", "o", F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
         pairs = asked.select("a", "b").distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        made = alike(pairs, texts, similarity)
-        judged = materialised(made if judged is None else judged.unionByName(made), "judged")
-        active = materialised(asked.join(judged.where("ok"), ["a", "b"], "left_anti").select("band", "key", "h", "o"), "active")
-        if not active.limit(1).count():
+        for old in judged:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        judged.append(materialised(alike(materialised(pairs, "pairs"), sets, similarity), "judged"))
+        every = reduce(DataFrame.unionByName, judged)
+        failed = asked.join(every.where("not ok"), ["a", "b"], "left_semi").select("band", "key", "h", "o")
+        again = materialised(failed.unionByName(found.where("whole = 0 and h = lead").select("band", "key", "h", "o")), "again")
+        crowded = again.groupBy("band", "key").count().where("count > 1").select("band", "key")
+        was = active.count()
+        active = materialised(again.join(crowded, ["band", "key"]).join(classes.select("h", *fps), "h"), "active")
+        left = active.count()
+        if not left:
             break
-    of = materialised(connected_components(judged.where("ok").select("a", "b")).withColumnRenamed("node", "h"), "components")
-    low = of.join(classes.select("h", "rep"), "h").groupBy("component").agg(F.min("rep").alias("low"))
-    named = classes.select("h", "rep").join(of, "h", "left").join(low, "component", "left").select("h", F.coalesce("low", "rep").alias("component_id"))
-    return signed.select("id", "h").join(named, "h").select("id", "component_id")
+        if left > was // 2:  # dealing a hot bucket out gains nothing where few of its members are alike
+            hot = 4 * hot
+    named = lowest(classes.select("h", "rep"), "h", every.where("ok").select("a", "b")).select("h", F.col("group"), F.col("low").alias("component_id"))
+    return signed.select("id", "h").join(named, "h").select("id", "h", "group", "component_id")
 
 
 def deduplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
     """As deduplicate(), with groups of texts that share so many of their five-word shingles."""
     found = materialised(near_texts(docs, id_col, text_col, similarity), "groups")
-    return _first_of_each(docs, found.withColumnRenamed("id", id_col), id_col)
+    return _first_of_each(docs, found.select("id", "h", "group"), id_col, text_col)
 
 
 def query(docs: DataFrame) -> DataFrame:

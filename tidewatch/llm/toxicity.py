@@ -300,7 +300,7 @@ def count(train: DataFrame) -> tuple[DataFrame, dict[bool, tuple[int, int]]]:
     """The grams of all training rows, and the numbers of toxic and ordinary texts, of all and without fold 0."""
     sums = train.groupBy("toxic", "fold").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # a few rows
     texts = {whole: tuple(sum(r.n for r in sums if bool(r.toxic) == k and (whole or r.fold)) for k in (True, False)) for whole in (True, False)}
-    buckets = max(4, -(-sum(r["size"] or 0 for r in sums) // (6 * BUCKET)))
+    buckets = max(64, -(-sum(r["size"] or 0 for r in sums) // (6 * BUCKET)))
     often = frequent(train, sum(texts[True]), SHARE / buckets)
     share = {whole: t / (t + o) for whole, (t, o) in texts.items() if t and o}
     return materialised(grams(blocks(train, buckets, often), often, share), "grams"), texts
