@@ -76,22 +76,56 @@ def brute_windows(docs, items, window=10):
                     if w[j : j + len(part)] == part:
                         hit |= set(range(j, j + len(part)))
                         found.add(item)
-        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit))
     return out
 
 
 @pytest.mark.parametrize("most", [200_000, 5])
 def test_decontamination_is_brute_force(spark, most):
-    items = [(1, words(25, 5)), (12, words(10, 6)), (3, "Short ONE"), (4, None), (5, "..."), (6, "été à é"), (7, words(25, 5))]
-    texts = [words(50, 9) + " " + words(25, 5).upper() + "! " + words(20, 10), words(10, 6) + words(9, 6), "a short, one b", None, "", "ÉTÉ été-à é", words(14, 5)]
+    items = [(1, words(25, 5)), (12, words(10, 6)), (3, "Short ONE"), (4, None), (5, "..."), (6, "été à é"), (7, words(25, 5)), (None, words(12, 31)), (None, words(11, 32))]
+    texts = [words(50, 9) + " " + words(25, 5).upper() + "! " + words(20, 10), words(10, 6) + words(9, 6), "a short, one b", None, "", "ÉTÉ été-à é", words(14, 5), words(12, 31) + " x " + words(11, 32), words(25, 5) + " " + words(12, 31)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     out = decontaminate.decontaminate(docs_of(spark, texts), bench, slice_windows=most)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, decontaminate.digest(r["items"]), r.n_hit > 0) for r in out.collect()}
     assert got == brute_windows(list(enumerate(texts)), items)
-    kept = {r.doc_id for r in decontaminate.clean(docs_of(spark, texts), bench).collect()}
+    spans = {r.doc_id: r.spans for r in out.collect()}
+    assert all(sum(z - a for a, z in spans[i]) == got[i][1] and all(x[1] < y[0] for x, y in zip(spans[i], spans[i][1:], strict=False)) for i in got)
+    kept = {r.doc_id for r in decontaminate.clean(docs_of(spark, texts), bench, slice_windows=most).collect()}
     assert kept == {i for i, x in got.items() if not x[4]}
 
 
+def test_one_slice_is_held_at_a_time(spark, monkeypatch):
+    sc, live, most = type(spark.sparkContext), [], []
+    send = sc.broadcast
+
+    class Sent:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def __reduce__(self):
+            return self.real.__reduce__()
+
+        def destroy(self):
+            live.remove(self)
+            self.real.destroy()
+
+    def watched(self, value):
+        live.append(made := Sent(send(self, value)))
+        most.append(len(live))
+        return made
+
+    monkeypatch.setattr(sc, "broadcast", watched)
+    bench = spark.createDataFrame([(str(i), words(15, 40 + i)) for i in range(6)], "item_id string, text string")
+    out = decontaminate.decontaminate(docs_of(spark, [words(15, 40), words(15, 45) + " z " + words(15, 41)]), bench, slice_windows=8)
+    assert {r.doc_id: r["items"] for r in out.collect()} == {0: ["0"], 1: ["1", "5"]}
+    assert len(most) > 3 and max(most) == 1 and not live
+    with pytest.raises(ValueError, match="n_words"):
+        decontaminate.decontaminate(docs_of(spark, ["a"]).withColumnRenamed("n_chars", "N_words"), bench)
+
+
 def test_spans_are_removed():
     assert decontaminate.remove_spans("Keep a Bad thing, here", [[2, 4]]) == "Keep a , here"
     assert decontaminate.remove_spans(None, [[0, 1]]) is None
@@ -337,7 +371,9 @@ def test_targets_fill_like_water(spark):
     assert got == pytest.approx(target)
 
 
-def test_mixing_meets_targets_and_repeats(spark, odd):
+@pytest.mark.parametrize("part", [20_000, 3])
+def test_mixing_meets_targets_and_repeats(spark, odd, monkeypatch, part):
+    monkeypatch.setattr(mixing, "PART", part)
     texts = [words(random.Random(i).randint(1, 80), i) for i in range(600)]
     docs = docs_of(spark, texts)
     a, b = (sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.query(docs).collect()) for _ in range(2))
@@ -429,6 +465,20 @@ def test_warc_keeps_small_payloads_and_empty_tables(spark, tmp_path):
     assert warc.pages_of(warc.read(warc.write(pages.limit(0), str(tmp_path / "b")))).count() == 0
 
 
+def test_warc_of_repeated_ids_and_long_headers(spark, tmp_path):
+    rows = [(5, "u", "same"), (5, "u", "same"), (7, "u", "same"), (8, "http://h/" + "x" * 100_000, "long"), (9, "u", "same"), (3, "u", "other")] + [(20 + i, "http://h/" + "y" * 70_000, f"p{i}") for i in range(6)]
+    want = None
+    for n in (1, 4):
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(n)
+        for size in (50_000, 1 << 20):
+            got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.pages_of(warc.read(warc.write(pages, str(tmp_path / f"{n}-{size}")), size)).collect())
+            want = want or got
+            assert got == want
+    assert [x[1:3] for x in want if x[0] in (5, 7, 9)] == [("response", 0), ("response", 0), ("revisit", 5), ("revisit", 5)] and len(want) == len(rows)
+    with pytest.raises(ValueError, match="header"):
+        warc.record("response", 1, "u" * warc.HEADER, b"", None, warc.DATE)
+
+
 # -- models
 
 

@@ -11,8 +11,8 @@ before the shuffle: its rows are bounded by the different sizes, however many do
 
 Copies: the fractions of the rates are summed along each source's sizes and rounded where the sum passes a whole, so
 the words taken stay within one document of the target; a few corrections then add or drop the copy that brings the source
-nearest to it. Which documents of a size get a copy is decided by a hash of the id, ranked within ``SALTS`` parts of the
-source and size, so that equal texts of a hot source aren't ranked in one task. Reruns agree.
+nearest to it. Which documents of a size get a copy is decided by a hash of the id, ranked within parts of the source and
+size of about ``PART`` documents, so that equal texts of a hot source aren't ranked in one task at any scale. Reruns agree.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source; a source without words
 has target 0; an empty table gives no rows; repeated rows are ranked as different documents.
@@ -25,10 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import few_or_not, materialised
 
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
-SALTS, STEPS, CORRECTIONS = 32, 60, 4
+#: Documents of a source and size that are ranked together, about.
+PART, STEPS, CORRECTIONS = 20_000, 60, 4
 
 
 def word_count(text: Column) -> Column:
@@ -95,9 +96,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     row = F.struct(*docs.columns)
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))  # null comes last
     luck = F.xxhash64(F.col(id_col))
-    rows = docs.select(row.alias("doc"), key.alias("src"), word_count(F.col(text_col)).alias("size"), luck.alias("luck"), F.pmod(luck, F.lit(SALTS)).alias("salt"))
-    parts = materialised(rows.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "sizes")
-    sizes = materialised(parts.groupBy("src", "size").agg(F.sum("n").alias("n")), "sizes")
+    rows = docs.select(row.alias("doc"), key.alias("src"), word_count(F.col(text_col)).alias("size"), luck.alias("luck"))
+    narrow = materialised(rows.select("src", "size", "luck"), "sizes-of-documents")
+    sizes = materialised(narrow.groupBy("src", "size").agg(F.count("*").alias("n")), "sizes")
+    hot = few_or_not(sizes.where(F.col("n") > PART).select("src", "size", F.ceil(F.col("n") / PART).alias("parts")))  # fewer than documents / PART
+    salted = lambda df: df.join(hot, ["src", "size"], "left").withColumn("salt", F.pmod("luck", F.coalesce("parts", F.lit(1)))).drop("parts")
+    parts = materialised(salted(narrow).groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "parts")
+    rows = salted(rows)
     totals = sizes.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum((F.col("n") * F.col("size")).cast("double") * F.col("size")).alias("words2"))
     aims = targets(totals)
     state = solve(sizes, aims)

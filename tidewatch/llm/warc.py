@@ -1,7 +1,7 @@
 """WARC archives: written with revisits for equal payloads, read back by boundary-chain verification.
 
-Writing: payload digests are grouped (combined before the shuffle) and only those that occur again are joined back, so
-payloads are not shuffled. Each task writes its rows to files of its own in the shared folder; only files that
+Writing: payload digests are grouped (combined before the shuffle) and only those that occur again are joined back, by a
+broadcast of at most a million digests of 20 bytes; only where more of them repeat are payloads shuffled. Each task writes its rows to files of its own in the shared folder; only files that
 a finished task reports are part of the archive, so a lost or repeated task leaves nothing in the result.
 
 Reading: tasks scan byte ranges of the files for the record magic and emit each candidate with its successor's
@@ -11,8 +11,9 @@ candidates on a chain from a file's start are records, so magic inside a payload
 then reads its records from its entry on, a chunk of a payload in memory at a time.
 
 Defined results: a null payload is empty; equal payloads below ``least`` bytes are all responses; a null page id
-writes no record and gives no row; equal page ids each write one, the first of them being what others refer to; an
-empty table writes an archive without files. A chain that ends in bytes that are no record raises an error.
+writes no record and gives no row; equal page ids each write one, and all of them are responses if theirs is the smallest id of
+an equal payload, whatever tasks write them; an empty table writes an archive without files. A header (its URL, that is) of more
+than ``HEADER`` bytes is refused on writing. A chain that ends in bytes that are no record raises an error.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, few_or_not, materialised, shared_dir, short_batches
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
-#: Bytes after which a file is full; of one range of a scan; of a header at most; read at once.
-FULL, RANGE, HEADER, CHUNK = 256 << 20, 8 << 20, 64 << 10, 1 << 20
+#: Bytes after which a file is full; of one range of a scan; of a header at most, and of most headers; read at once.
+FULL, RANGE, HEADER, SHORT, CHUNK = 256 << 20, 8 << 20, 1 << 20, 64 << 10, 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 
 
@@ -56,13 +57,16 @@ def record(kind: str, page: int, url: str | None, payload: bytes, refers: int |
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
     head.append(f"Content-Length: {len(block)}")
-    return [MAGIC, "\r\n".join(head).encode(), END, block, END]
+    fields = "\r\n".join(head).encode("utf-8", "surrogatepass")
+    if len(MAGIC) + len(fields) + len(END) > HEADER:
+        raise ValueError(f"the header of page {page} has more than {HEADER} bytes")
+    return [MAGIC, fields, END, block, END]
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, full: int = FULL, date: str = DATE) -> DataFrame:
     """Writes the archive below ``folder``; returns (path, bytes, records), one row for each of its files."""
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     again = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first")
     rows = rows.join(few_or_not(again), F.col("digest") == F.col("again"), "left").select("page", "url", "payload", "first")
     short_batches(pages.sparkSession)
@@ -71,7 +75,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = storage(folder)
         made: list[tuple[str, int, int]] = []
-        out, size, n, name, firsts = None, 0, 0, "", set()
+        out, size, n, name = None, 0, 0, ""
 
         def close():
             nonlocal out
@@ -85,8 +89,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                 if out is None:
                     name, size, n = f"{run_id}-{uuid.uuid4().hex}.warc", 0, 0
                     out = system.open_output_stream(f"{base}/{name}", buffer_size=CHUNK)
-                revisit = first is not None and (page != first or page in firsts)
-                firsts |= {page} if page == first else set()
+                revisit = first is not None and page != first
                 for part in record("revisit" if revisit else "response", page, url, payload.encode("utf-8", "surrogatepass"), first, date):
                     out.write(part)
                     size += len(part)
@@ -124,51 +127,64 @@ def candidates(data: bytes, base: int, end: int) -> dict[int, int]:
 
 
 def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, begin, finish, bytes): the byte ranges of the files."""
+    """(path, file: its number, begin, finish, bytes): the byte ranges of the files."""
     parts = files.where("bytes > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / size).cast("int"))))
     begin = F.col("k").cast("bigint") * size
-    return parts.select("path", begin.alias("begin"), F.least(begin + size, F.col("bytes")).alias("finish"), "bytes")
+    return parts.select("path", "file", begin.alias("begin"), F.least(begin + size, F.col("bytes")).alias("finish"), "bytes")
+
+
+def window(f, begin: int, finish: int, total: int) -> bytes:
+    """The bytes from ``begin`` on, with the whole headers of what may be records before ``finish``."""
+    f.seek(begin)
+    data = f.read(min(finish + SHORT, total) - begin)
+    at = data.rfind(MAGIC, 0, finish - begin + len(MAGIC) - 1)
+    if at >= 0 and data.find(END, at) < 0 and begin + len(data) < total:
+        data += f.read(HEADER)
+    return data
 
 
 def links(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, at, to): each candidate and the first successor beyond its range that its chain reaches."""
+    """(file, at, to): each candidate and the first successor beyond its range that its chain reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, begin, finish, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, file, begin, finish, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 system, place = storage(path)
                 with system.open_input_file(place) as f:
-                    f.seek(begin)
-                    near = candidates(f.read(min(finish + HEADER, total) - begin), begin, finish)
+                    near = candidates(window(f, begin, finish, total), begin, finish)
                 for at in sorted(near, reverse=True):  # a successor lies behind, so its own end is known
                     near[at] = near.get(near[at], near[at])
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(near), pa.string()), pa.array(list(near), pa.int64()), pa.array(list(near.values()), pa.int64())], names=["path", "at", "to"])
+                made = ([file] * len(near), list(near), list(near.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["file", "at", "to"])
 
-    return spread(ranges(files, size)).mapInArrow(run, "path string, at bigint, to bigint")
+    return spread(ranges(files, size)).mapInArrow(run, "file bigint, at bigint, to bigint")
 
 
 def spread(parts: DataFrame) -> DataFrame:
     """One task for each few ranges."""
     n = max(parts.count(), 1)
-    return parts.repartition(min(n, max(parts.sparkSession.sparkContext.defaultParallelism * 4, n // 8)), "path", parts.columns[1])
+    return parts.repartition(min(n, max(parts.sparkSession.sparkContext.defaultParallelism * 4, n // 8)), "path", parts.columns[2])
 
 
 def entries(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, at): the first record of each range that is reachable from its file's start, by pointer jumping."""
-    step = checkpointed(links(files, size))
+    """(file, at): the first record of each range that is reachable from its file's start, by pointer jumping.
+
+    Joins with what has a row for each record are sorted merges of numbers: their size goes with the input.
+    """
+    step = materialised(links(files, size), "links")
+    start = files.where("bytes > 0").select("file", F.lit(0).cast("bigint").alias("at"))
     # what can be an entry: a file's start, and where chains enter a range
-    land = step.select("path", F.col("to").alias("at")).distinct().unionByName(files.where("bytes > 0").select("path", F.lit(0).cast("bigint").alias("at"))).distinct()
-    jump = checkpointed(step.join(land, ["path", "at"]))
-    reach = files.where("bytes > 0").select("path", F.lit(0).cast("bigint").alias("at"))
-    n = reach.count()
+    land = step.select("file", F.col("to").alias("at")).distinct().unionByName(start).distinct()
+    jump = checkpointed(step.hint("merge").join(land.hint("merge"), ["file", "at"]))
+    reach, n = start, start.count()
     while True:
-        reach = checkpointed(reach.unionByName(reach.join(jump, ["path", "at"]).select("path", F.col("to").alias("at"))).distinct())
+        reach = checkpointed(reach.unionByName(reach.hint("merge").join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))).distinct())
         now = reach.count()
         if now == n:
             return reach
         n = now
-        far = jump.select("path", F.col("at").alias("to"), F.col("to").alias("end"))
-        jump = checkpointed(jump.join(far, ["path", "to"]).select("path", "at", F.col("end").alias("to")))
+        far = jump.select("file", F.col("at").alias("to"), F.col("to").alias("end"))
+        jump = checkpointed(jump.hint("merge").join(far.hint("merge"), ["file", "to"]).select("file", "at", F.col("end").alias("to")))
 
 
 RECORD = "path string, at bigint, kind string, page bigint, url string, refers bigint, stated string, payload_bytes bigint, digest string"
@@ -176,8 +192,9 @@ RECORD = "path string, at bigint, kind string, page bigint, url string, refers b
 
 def read(files: DataFrame, size: int = RANGE) -> DataFrame:
     """The records of the files: type, page, URI, what it refers to, stated digest, payload's bytes and their digest."""
-    start = entries(files, size).join(files.select("path", "bytes"), "path").where("at < bytes")
-    start = start.select("path", "at", F.least((F.floor(F.col("at") / size) + 1) * size, F.col("bytes")).alias("finish"), "bytes")
+    files = files.withColumn("file", F.xxhash64("path")) if "file" not in files.columns else files
+    start = entries(files, size).hint("merge").join(files.select("path", "file", "bytes").hint("merge"), "file").where("at < bytes")
+    start = start.select("path", "file", "at", F.least((F.floor(F.col("at") / size) + 1) * size, F.col("bytes")).alias("finish"), "bytes")
 
     def payload(f, head: bytes, left: int) -> tuple[int, str]:
         """Bytes and digest of what follows the HTTP header in a block of ``left`` bytes whose start is in ``head``."""
@@ -203,16 +220,20 @@ def read(files: DataFrame, size: int = RANGE) -> DataFrame:
 
         number = lambda v: int(v.rsplit(":", 1)[1].rstrip(">")) if v and v.startswith("<urn:page:") else None
         for b in batches:
-            for path, at, finish, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, _, at, finish, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 system, place = storage(path)
                 out = []
                 with system.open_input_file(place) as f:
                     data, base = b"", at
                     while at < finish:
-                        if not base <= at <= base + len(data) - HEADER and base + len(data) < total or not data:
+                        if not base <= at <= base + len(data) - SHORT and base + len(data) < total or not data:
                             f.seek(at)
-                            data, base = f.read(min(CHUNK + HEADER, total - at)), at
+                            data, base = f.read(min(CHUNK + SHORT, total - at)), at
                         found = header(data, at - base)
+                        if not found and base + len(data) < min(at + HEADER, total):  # an unusually long header
+                            f.seek(at)
+                            data, base = f.read(min(CHUNK + HEADER, total - at)), at
+                            found = header(data, 0)
                         if not found:
                             raise ValueError(f"no record at {at} of {path}")
                         body, length = found
