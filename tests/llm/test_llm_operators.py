@@ -399,6 +399,19 @@ def test_rates_are_exponential_tilts(spark):
 # -- vectors
 
 
+def test_links_in_one_direction_are_met():
+    """Copies that all move along one axis: cells are left where isotropic noise leaves none."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(8_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for axis in (np.eye(64)[3], rng.normal(size=64)):
+        noise = axis - (x @ axis)[:, None] * x
+        y = 0.935 * x + np.sqrt(1 - 0.935**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+        grid = vectors.Grid(np.concatenate([x[::2], y[::2]])[rng.permutation(8_000)], 16_000, 0.93, vectors.RECALL)
+        a, b = grid.cells(x[1::2]), grid.cells(y[1::2])
+        assert ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() >= 0.97
+
+
 @pytest.mark.parametrize("block", [2048, 6])
 def test_vectors_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
@@ -408,7 +421,7 @@ def test_vectors_are_brute_force(spark, monkeypatch, block):
     for i in range(60):
         for _ in range(1 + 3 * (i % 4 == 0) + 20 * (i == 8)):
             rows.append((len(rows), (base[i] + rng.normal(size=16) * rng.choice([0, 0.05, 0.1])).tolist(), int(i % 3)))
-    extra = [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [None] + [1.0] * 15, 1), (1004, [float("nan")] * 16, 1), (1005, base[0].tolist(), None), (1006, base[0].tolist(), None), (1007, [1.0, 2.0], 1)]
+    extra = [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [None] + [1.0] * 15, 1), (1004, [float("nan")] * 16, 1), (1005, base[0].tolist(), None), (1006, base[0].tolist(), None), (1007, [1.0, 2.0], 1), (1008, [2.0, 1.0], 2), (1009, [2.0, 1.01], 2), (1010, [4.0, 2.0], 2), (1011, [2.0, 1.0, 0.0], 2)]
     df = spark.createDataFrame(rows + extra + [rows[0]], "vec_id bigint, embedding array<double>, label int")
     got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
     assert len(got) == len(rows) + len(extra)
@@ -421,7 +434,8 @@ def test_vectors_are_brute_force(spark, monkeypatch, block):
     assert links.sum() >= 0.95 * near.sum() and (links <= near.sum(1)).all()
     want = components(len(rows), np.argwhere(near).tolist())
     assert np.mean([got[i].component_id == want[i] for i in range(len(rows))]) >= 0.9
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1008))
+    assert all(got[i].n_links == 0 and got[i].kept for i in (*range(1000, 1008), 1011))
+    assert [(got[i].n_links, got[i].component_id) for i in (1008, 1009, 1010)] == [(2, 1008)] * 3
 
 
 def test_vectors_empty(spark):

@@ -2,16 +2,20 @@
 
 Independent codebooks for the two halves of the vectors form a product grid of cells. Each vector lives in its nearest
 cell and visits other cells in the order of the sum of its halves' distances (a multi-sequence traversal) until the target
-recall; what it meets there is verified by the full cosine in double precision. The number of visits is calibrated on
-partners planted at the threshold itself, the hardest ones, so that ``RECALL`` of them are met from either side.
+recall; what it meets there is verified by the full cosine in double precision. The number of visits is calibrated so that
+``RECALL`` of the partners are met from either side, separately for partners planted at the threshold itself, the hardest
+ones, in each of several directions (any, one for all, single axes, principal axes, towards other vectors), and for real pairs near the threshold, found
+by comparing all of a bounded sample; the greatest number is taken.
 
-Only vectors of equal, non-null label are compared. Codebooks are fitted on at most ``SAMPLE`` vectors chosen by hash
+Only vectors of equal, non-null label and equal length are compared; the grid is of the commonest length, and vectors of
+each other length are compared all with all, in blocks. Codebooks are fitted on at most ``SAMPLE`` vectors chosen by hash
 and are all that is broadcast. Equal vectors of a label are one class with a weight: copies are never expanded. A cell
 of more than ``BLOCK`` classes is dealt to several tasks by a hash, each of which gets the cell's visitors. A cell gives
 each vector's count of links and a star of links for each group, never its pairs.
 
-Defined results: vectors that are null, empty, zero or hold a null or non-finite component, those of another length
-than most of the sample, and those of null label link with nothing and are kept; rows that are wholly equal count once.
+Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and those of null label link
+with nothing and are kept; ties in the traversal go to the first cell; rows that are wholly equal count once; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialised
 
-THRESHOLD, RECALL = 0.93, 0.98
+THRESHOLD, RECALL = 0.93, 0.99
 #: Vectors of the fitting sample; classes of a cell in one task; classes aimed at in a cell; codewords of a half at most.
-SAMPLE, BLOCK, CELL, CODEWORDS = 20_000, 2_048, 32, 256
+SAMPLE, BLOCK, CELL, CODEWORDS = 20_000, 2_048, 32, 1_024
+#: Vectors of the sample whose partners are planted, and that are compared for real pairs.
+PLANTED, COMPARED = 500, 4_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -53,9 +59,14 @@ class Grid:
     def __init__(self, sample: np.ndarray, per_label: float, threshold: float, recall: float):
         self.half = sample.shape[1] // 2
         k = int(np.clip(round(np.sqrt(per_label / CELL)), 1, CODEWORDS))
-        self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k, seed=6)]
+        # visits are calibrated on vectors that the codebooks haven't seen: theirs lie nearer to their codewords
+        unseen = min(COMPARED, len(sample) // 2)
+        fitted = sample[unseen:]
+        self.books = [kmeans(fitted[:, : self.half], k), kmeans(fitted[:, self.half :], k, seed=6)]
         self.visits = 1
-        self.visits = self.calibrate(sample[: 1_000], threshold, recall)
+        few = sample[: min(PLANTED, unseen) or 1]
+        pairs = [(few, y) for y in self.planted(few, threshold)] + list(self.real(sample[:unseen], threshold))
+        self.visits = max(self.calibrate(x, y, recall) for x, y in pairs)
 
     def cells(self, x: np.ndarray, visits: int | None = None) -> np.ndarray:
         """The nearest cells of each vector, in the order of the traversal; the first is its home."""
@@ -70,18 +81,44 @@ class Grid:
         i, j = (np.take_along_axis(o, ranks[best, k], axis=1) for k, o in enumerate(order))
         return i * len(self.books[1]) + j
 
-    def calibrate(self, x: np.ndarray, threshold: float, recall: float, seed: int = 9) -> int:
-        """Visits at which so many partners planted at the threshold are met by one side or the other."""
+    @staticmethod
+    def planted(x: np.ndarray, threshold: float, seed: int = 9) -> Iterator[np.ndarray]:
+        """Partners of the rows at the threshold, by the direction in which they lie."""
         rng = np.random.default_rng(seed)
-        noise = rng.normal(size=x.shape)
-        noise -= (noise * x).sum(1)[:, None] * x
-        noise /= np.linalg.norm(noise, axis=1)[:, None]
-        y = threshold * x + np.sqrt(1 - threshold**2) * noise
-        every = len(self.books[0]) * len(self.books[1])
-        n = 1
+        n, d = x.shape
+        principal = np.linalg.svd(x - x.mean(0), full_matrices=False)[2]
+        signs = rng.choice([-1.0, 1.0], (n, 1))
+        for noise in (
+            rng.normal(size=x.shape),
+            np.tile(rng.normal(size=d), (n, 1)),
+            signs * np.eye(d)[rng.integers(0, d, n)],
+            signs * principal[rng.integers(0, min(4, len(principal)), n)],
+            x[rng.permutation(n)],
+        ):
+            noise = noise - (noise * x).sum(1)[:, None] * x
+            size = np.linalg.norm(noise, axis=1)[:, None]
+            noise = np.where(size > 1e-9, noise / np.maximum(size, 1e-9), 0.0)
+            y = threshold * x + np.sqrt(1 - threshold**2) * noise
+            yield y / np.linalg.norm(y, axis=1)[:, None]
+
+    @staticmethod
+    def real(x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of a sample that are no more alike than halfway from the threshold to 1, one partner a row, if there are any."""
+        near = x @ x.T
+        near[near > (1 + threshold) / 2] = 0.0
+        np.fill_diagonal(near, 0.0)
+        best = near.argmax(1)
+        rows = np.flatnonzero(near[np.arange(len(x)), best] >= threshold)[:PLANTED]
+        if len(rows) >= 20:
+            yield x[rows], x[best[rows]]
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> int:
+        """Visits at which so many of the pairs are met by one side or the other."""
+        every, n = len(self.books[0]) * len(self.books[1]), 1
+        homes = self.cells(x, 1), self.cells(y, 1)
         while n < every:
             a, b = self.cells(x, n), self.cells(y, n)
-            if ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() >= recall:
+            if ((a == homes[1]).any(1) | (b == homes[0]).any(1)).mean() >= recall:
                 return n
             n = min(n + max(1, n // 4), every)
         return every
@@ -117,7 +154,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = materialised(prepared(rows, id_col, vector_col, label_col), "vectors")
     classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     classes = materialised(classes, "vector-classes")
-    n, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
+    n = classes.count()
     result = lambda x: x.select(F.col("id").alias(id_col), F.col("n_links").cast("bigint").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     if not n:
         return result(rows.withColumn("n_links", F.lit(0)).withColumn("component_id", F.col("id")))
@@ -128,26 +165,38 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = np.stack([np.frombuffer(r.vector) for r in few if len(r.vector) == size])
     if sample.shape[1] == 1:
         sample = np.concatenate([sample, np.zeros_like(sample)], axis=1)
-    grid = spark.sparkContext.broadcast(Grid(sample, n / labels, threshold, recall))
+    # the vectors of a label, on average over the vectors: a large label isn't crowded because there are small ones
+    per_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") ** 2) / F.sum("n")).first()[0]
+    grid = spark.sparkContext.broadcast(Grid(sample, per_label, threshold, recall))
 
-    def unit(column) -> np.ndarray:
-        x = np.stack([np.frombuffer(v) for v in column.to_pylist()])
+    def unit(vectors: list[bytes]) -> np.ndarray:
+        x = np.stack([np.frombuffer(v) for v in vectors])
         return x if x.shape[1] > 1 else np.concatenate([x, np.zeros_like(x)], axis=1)
 
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grid.value.cells(unit(part.column(1).to_pylist()), 1)[:, 0])], names=["label", "cell"])
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                cells = grid.value.cells(unit(part.column(part.schema.get_field_index("vector"))))
+                cells = grid.value.cells(unit(part.column(3).to_pylist()))
                 k = cells.shape[1]
                 take = pa.array(np.repeat(np.arange(part.num_rows), k))
                 yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(cells.reshape(-1)), pa.array(np.tile(np.arange(k) == 0, part.num_rows))], names=[*part.schema.names, "cell", "home"])
 
     shape = "label bigint, rep bigint, weight bigint, vector binary, cell bigint, home boolean"
-    wide = classes.where(F.octet_length("vector") == size).select("label", "rep", "weight", "vector").mapInArrow(visit, shape)
-    homes = classes.where(F.octet_length("vector") == size).select("label", "rep", "weight", "vector").mapInArrow(lambda it: (x.filter(x.column(5)) for x in visit(it)), shape)
+    usual = F.octet_length("vector") == size
+    own_length = -F.octet_length("vector").cast("bigint")  # one cell for each other length
+    of_grid = classes.where(usual).select("label", "rep", "weight", "vector")
+    others = classes.where(~usual).select("label", "rep", "weight", "vector", own_length.alias("cell"), F.lit(True).alias("home"))
+    wide = of_grid.mapInArrow(visit, shape).unionByName(others)
+    homes = of_grid.select("label", "vector").mapInArrow(at_home, "label bigint, cell bigint").unionByName(others.select("label", "cell"))
     crowded = homes.groupBy("label", "cell").count().where(F.col("count") > BLOCK).select("label", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -164,11 +213,11 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         def begin():
             reps, weights = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             x = np.concatenate([h[2] for h in held])
-            seen = grid.value.cells(x)
+            seen = grid.value.cells(x) if group[1] >= 0 else np.full((len(x), 1), group[1])
             return {"reps": reps, "w": weights, "x": x, "seen": seen, "root": np.arange(len(reps))}
 
         def meet(r, cell, reps, weights, x):
-            homes = grid.value.cells(x, 1)[:, 0]
+            homes = grid.value.cells(x, 1)[:, 0] if cell >= 0 else np.full(len(x), cell)
             for at in range(0, len(reps), 256):
                 part = slice(at, at + 256)
                 near = x[part] @ r["x"].T >= threshold
@@ -204,16 +253,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 continue
             keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
             cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
-            reps, weights, x = np.asarray(batch.column(4)), np.asarray(batch.column(5)), unit(batch.column(6))
+            reps, weights, vectors = np.asarray(batch.column(4)), np.asarray(batch.column(5)), batch.column(6).to_pylist()
             for a, z in zip(cuts, cuts[1:], strict=False):
                 *now, role = keys[a].tolist()
                 if now != group:
                     group, residents, held = now, None, []
                 if role == 0:
-                    held.append((reps[a:z], weights[a:z], x[a:z]))
+                    held.append((reps[a:z], weights[a:z], unit(vectors[a:z])))
                 elif held:
                     residents = residents or begin()
-                    yield from meet(residents, group[1], reps[a:z], weights[a:z], x[a:z])
+                    yield from meet(residents, group[1], reps[a:z], weights[a:z], unit(vectors[a:z]))
 
     met = materialised(dealt.mapInArrow(verify, "kind int, a bigint, v bigint"), "met")
     counts = met.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("v").alias("met"))
