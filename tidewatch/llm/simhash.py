@@ -14,9 +14,12 @@ A bucket gives a star of links for each group of linked classes rather than all
 
 A radius of 3 of 64 bits is far too narrow for copies that share but 0.8 of their shingles. ``near_texts``, which the
 pipeline uses, has fingerprints of 256 bits over the different five-word shingles, of which some 39 differ at that similarity, and
-a radius of ``WIDE``, which all but about one in 10 000 of such pairs meet. Its buckets are bands of minima over the shingles' hashes. In
-each bucket all members are compared with a lead in the same bit-sliced way, what is beyond the radius is abandoned and gets a lead of its own,
-and what is within it is linked if the sets of shingles, compared exactly, share ``SIMILAR`` or more.
+a radius of ``WIDE``, which all but about one in 10 000 of such pairs meet (one in 200 of texts of some five shingles). Its
+buckets are bands of minima over the shingles' hashes. In each bucket all members are compared with a lead in the same
+bit-sliced way, the lead being the member nearest to the majority of the bucket's bits, as a text is whose edited copies the others
+are. What is beyond the radius is abandoned and gets a lead of its own; what is within it is linked if the sets of
+shingles, compared exactly, share ``SIMILAR`` or more. What isn't is compared exactly with the others of its bucket that
+aren't, the leads among them being taken one after the other.
 
 Defined results: null, empty and blank texts have fingerprint zero (no shingles), which links like any other; fewer words than a
 shingle give one shingle of all words; repeated rows share a class; an empty table gives an empty result. Rows that share
@@ -44,9 +47,10 @@ STEP = 1 << 16
 #: similarity share one with a probability of 1 - (1 - 0.8 ** 5) ** 16 = 0.998.
 WORDS, SIMILAR, MIN_BANDS, MINIMA = 5, 0.8, 16, 5
 #: Words of 64 bits of a wide fingerprint, and its radius.
-LANES, WIDE = 4, 72
-#: Rows of a band that are compared together at least, where there are so many; pairs of a lead that one task verifies.
-TOGETHER, PAIRS = 1 << 14, 2_048
+LANES, WIDE = 4, 64
+#: Rows of a band that are compared together at least, where there are so many; pairs of a lead that one task verifies;
+#: members of a bucket that are compared exactly in one task.
+TOGETHER, PAIRS, EXACT = 1 << 14, 2_048, 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -384,34 +388,73 @@ def within(differing: np.ndarray, radius: int = WIDE) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
+def dealt(active: DataFrame, most: int) -> DataFrame:
+    """``active`` with the part of its bucket (band, key) that each row goes to, and whether its bucket is ``whole`` (1) in one."""
+    crowd = active.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowd = few_or_not(crowd.select("band", "key", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("h", F.lit(7)), F.col("parts"))).otherwise(0).cast("int")
+    return active.join(crowd, ["band", "key"], "left").withColumns({"part": part, "whole": F.col("parts").isNull().cast("int")}).drop("parts")
+
+
 def leads(active: DataFrame, hot: int) -> DataFrame:
-    """(band, key, h, o, lead, whole): each member of a bucket with the first one within the radius of it that is a lead.
+    """(band, key, h, lead, whole): each member of a bucket with the lead within the radius of it; a lead is its own.
 
-    A lead is its own. Members without a lead among those before are the next lead, until all have one. A bucket of more than
-    ``hot`` members is dealt to several tasks by hash (not ``whole``), whose leads are then compared with each other.
+    A bucket of more than ``hot`` members is dealt to several tasks by hash (not ``whole``).
     """
-    crowd = active.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    crowd = few_or_not(crowd.select("band", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
-    dealt = active.join(crowd, ["band", "key"], "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("h", F.lit(7)), F.col("parts"))).otherwise(0).cast("int"))
-    dealt = dealt.select("band", "key", "part", "h", "o", F.col("parts").isNull().cast("int").alias("whole"), *(f"fp{i}" for i in range(LANES)))
+    rows = dealt(active, hot).select("band", "key", "part", "h", "whole", *(f"fp{i}" for i in range(LANES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, key, part, h, o, whole, *fps in whole_groups(batches, 3):
+        for band, key, part, h, whole, *fps in whole_groups(batches, 3):
             fp = np.stack(fps, axis=1).view(np.uint64)
             group = np.cumsum(np.r_[0, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1)
             lead, left = np.arange(len(h)), np.arange(len(h))
             while len(left):
                 own = group[left]
-                first = np.r_[True, own[1:] != own[:-1]]
-                top = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(own)]))
+                most = 2 * np.add.reduceat(bits[left], first, axis=0, dtype=np.int32) > np.bincount(of)[:, None]
+                far = (bits[left] != most[of]).sum(1)
+                top = left[np.lexsort((h[left], far, of))[first]][of]
                 near = within(fp[left] ^ fp[top])
                 lead[left[near]] = top[near]
                 left = left[~near]
-            made = (band, key, h, o, h[lead], whole)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["band", "key", "h", "o", "lead", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (band, key, h, h[lead], whole)], names=["band", "key", "h", "lead", "whole"])
+
+    ordered = rows.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "h")
+    return ordered.mapInArrow(run, "band int, key bigint, h bigint, lead bigint, whole int")
+
 
-    ordered = dealt.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "o")
-    return ordered.mapInArrow(run, "band int, key bigint, h bigint, o bigint, lead bigint, whole int")
+def exactly(active: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(band, key, h, lead, whole), as ``leads``, where the sets of shingles decide. ``active``: (band, key, h)."""
+    rows = dealt(active, most).join(sets, "h").select("band", "key", "part", "h", "whole", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tops = None, []
+        for b in batches:
+            made = []
+            for band, key, part, h, whole, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, key, part) != at:
+                    at, tops = (band, key, part), []
+                own = np.frombuffer(data, np.uint64)
+                lead = next((x for x, other in tops if similar(own, other, similarity)), h)
+                if lead == h:
+                    tops.append((h, own))
+                made.append((band, key, h, lead, whole))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], k) for i, k in enumerate(kinds)], names=["band", "key", "h", "lead", "whole"])
+
+    short_batches(active.sparkSession)
+    ordered = rows.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "h")
+    return ordered.mapInArrow(run, "band int, key bigint, h bigint, lead bigint, whole int")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes are that similar by Jaccard; sizes that can't be are not compared."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -436,10 +479,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 if y is None:
                     mine = other
                     continue
-                both = len(np.intersect1d(mine, other, assume_unique=True))
                 a.append(x)
                 b.append(y)
-                ok.append(both >= similarity * (len(mine) + len(other) - both))
+                ok.append(similar(mine, other, similarity))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     short_batches(pairs.sparkSession)
@@ -449,8 +491,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
     """(id, h, group, component_id) of the rows with an id: the text's hash, the group of linked texts and its smallest id.
 
-    What isn't as similar to its lead as its fingerprint is near goes to another round, with the others of its bucket that
-    aren't, until none are left. Leads differ between bands. Equal texts are one class, and copies are never paired.
+    Equal texts are one class, and copies are never paired. Buckets that were dealt out go to another round with the leads
+    of their parts alone, until all are whole.
     """
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     bands_, fps = [f"band{i}" for i in range(MIN_BANDS)], [f"fp{i}" for i in range(LANES)]
@@ -462,36 +504,41 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = append(narrow, "text", [(x, "bigint") for x in (*bands_, *fps)], lambda: lambda texts: list(zip(*map(sign, texts), strict=True)) if texts else [[] for _ in (*bands_, *fps)])
     signed = materialised(signed.drop("text"), "minima")
     classes = materialised(signed.groupBy("h").agg(F.min("id").alias("rep"), *(F.min(x).alias(x) for x in (*bands_, *fps))), "classes")
-    wide = classes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(x).alias("key")) for i, x in enumerate(bands_)))).alias("x")).select("x.band", "x.key", "h", F.xxhash64("h", F.col("x.band") % 3).alias("o"))
-    crowded = wide.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    active = materialised(wide.join(crowded, ["band", "key"]).join(classes.select("h", *fps), "h"), "crowded")
+    wide = classes.select("h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col(x).alias("key")) for i, x in enumerate(bands_)))).alias("x")).select("x.band", "x.key", "h")
+    several = lambda rows: rows.join(rows.groupBy("band", "key").count().where("count > 1").select("band", "key"), ["band", "key"])
+    active = materialised(several(wide).join(classes.select("h", *fps), "h"), "crowded")
     nodes = classes.join(active.select("h").distinct(), "h").select(F.col("h").alias("node_h"), F.col("rep").alias("node_id"))
     texts = narrow.join(few_or_not(nodes), (F.col("id") == F.col("node_id")) & (F.col("h") == F.col("node_h"))).select("h", "text")
     sets = append(texts, "text", [("shingles", "binary")], lambda: lambda texts: [[shingles(x).tobytes() for x in texts]]).select("h", "shingles").dropDuplicates(["h"])
     sets = materialised(sets, "shingles")
-    judged = []
+    linked, failed = [], []
     while True:
         found = materialised(leads(active, hot), "leads")
-        asked = found.where("h <> lead").select("band", "key", "h", "o", F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
-        pairs = asked.select("a", "b").distinct()
-        for old in judged:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        judged.append(materialised(alike(materialised(pairs, "pairs"), sets, similarity), "judged"))
-        every = reduce(DataFrame.unionByName, judged)
-        failed = asked.join(every.where("not ok"), ["a", "b"], "left_semi").select("band", "key", "h", "o")
-        again = materialised(failed.unionByName(found.where("whole = 0 and h = lead").select("band", "key", "h", "o")), "again")
-        crowded = again.groupBy("band", "key").count().where("count > 1").select("band", "key")
-        was = active.count()
-        active = materialised(again.join(crowded, ["band", "key"]).join(classes.select("h", *fps), "h"), "active")
-        left = active.count()
-        if not left:
+        asked = found.where("h <> lead").select("band", "key", "h", F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
+        judged = materialised(alike(materialised(asked.select("a", "b").distinct(), "pairs"), sets, similarity), "judged")
+        linked.append(judged.where("ok").select("a", "b"))
+        failed.append(asked.join(judged.where("not ok"), ["a", "b"], "left_semi").select("band", "key", "h"))
+        active, n, hot = again(found, active, hot)
+        if not n:
             break
-        if left > was // 2:  # dealing a hot bucket out gains nothing where few of its members are alike
-            hot = 4 * hot
-    named = lowest(classes.select("h", "rep"), "h", every.where("ok").select("a", "b")).select("h", F.col("group"), F.col("low").alias("component_id"))
+    rest, most = materialised(several(reduce(DataFrame.unionByName, failed)), "failed"), EXACT
+    while rest.limit(1).count():
+        found = materialised(exactly(rest, sets, similarity, most), "leads")
+        linked.append(found.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")))
+        rest, _, most = again(found, rest, most)
+    every = materialised(reduce(DataFrame.unionByName, linked).distinct(), "links")
+    named = lowest(classes.select("h", "rep"), "h", every).select("h", F.col("group"), F.col("low").alias("component_id"))
     return signed.select("id", "h").join(named, "h").select("id", "h", "group", "component_id")
 
 
+def again(found: DataFrame, rows: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+    """The leads of buckets that were dealt out, their number, and the members that one task gets in the next round."""
+    tops = found.where("whole = 0 and h = lead").select("band", "key", "h")
+    left = materialised(rows.join(tops, ["band", "key", "h"], "left_semi"), "again")
+    n, dealt_out = left.count(), found.where("whole = 0").count()
+    return left, n, most if n < dealt_out // 2 else 4 * most  # dealing out gains nothing where few members are alike
+
+
 def deduplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
     """As deduplicate(), with groups of texts that share so many of their five-word shingles."""
     found = materialised(near_texts(docs, id_col, text_col, similarity), "groups")
