@@ -60,7 +60,7 @@ STEM, TYPES = 4, 3
 #: Entries of a slice of the broadcast model, about (some 30 bytes each); training rows of the regression.
 MOST, CALIBRATION = 1_000_000, 20_000
 #: Pairs that a task holds before it sends them; pairs of a block; pairs of a bucket, about; words that a worker knows.
-HELD, BLOCK, BUCKET, KNOWN = 2_000_000, 2_048, 1_000_000, 300_000
+HELD, BLOCK, BUCKET, KNOWN = 1_000_000, 2_048, 500_000, 120_000
 #: Texts of the sample that finds frequent words; a word is dealt by pair if it is more than this share of a bucket.
 SAMPLE, SHARE = 2_000, 0.1
 #: Hashes of the symbols for a text's start and end; words' hashes end in 4 to 7. MARK ends the hash of a word's stem (0: none)
