@@ -30,9 +30,9 @@ URLS = {
 
 
 def test_url_normaliser_native_and_arrow_agree(spark):
-    for f in (url.normalise, url.normalise_udf()):
+    for f in (url.normalise,):
         assert [tuple(x) for x in column(spark, URLS, f)] == list(URLS.values())
-    assert [tuple(x) for x in column(spark, ["bücher.example", "http://[::1]/"], url.normalise_udf())] == [("https://xn--bcher-kva.example/", None), (None, "unsafe_hostname")]
+    assert [tuple(x) for x in column(spark, ["bücher.example", "http://[::1]/"], url.normalise)] == [("https://xn--bcher-kva.example/", None), (None, "unsafe_hostname")]
 
 
 def test_feed_normaliser(spark):
@@ -286,3 +286,18 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert got["10:00"] == 2
     streams.run_once(streams.first_seen(stream.select("event_type", "ts"), "event_type", "1 hour"), f"{tmp_path}/out2", f"{tmp_path}/check2")
     assert spark.read.parquet(f"{tmp_path}/out2").count() >= 1
+
+
+def test_hosts_beyond_plain_names(spark):
+    from tidewatch.plans import url_queries
+
+    hosts = dict(zip(url_queries.ODD_HOSTS, url_queries.ODD_RESULTS, strict=True))
+    want = [(f"http://{r}/p", None) if r not in ("", "!") else (None, "unsafe_hostname" if not r else "invalid_url") for r in hosts.values()]
+    assert [tuple(x) for x in column(spark, [f"http://{h}/p" for h in hosts], url.normalise)] == want
+
+
+def test_page_tokens_by_event():
+    page = "<!-- <a href='x'> --><FORM action='https://Evil.example/login?x=1' data-x=1><input type=password name='p w'><script>if (a < b) alert('<b>no')</script>Tom &amp; Ann < 3<br/></form><style>p{}"
+    assert html.visible(page).split() == "tag_form attr_action_https_//evil.example/login_x_1 action_domain_evil.example tag_input attr_type_password attr_name_p_w tom & ann < 3 tag_br".split()
+    assert html.visible(page, False) == "attr_action_https_//evil.example/login_x_1 action_domain_evil.example attr_type_password attr_name_p_w tom & ann < 3"
+    assert html.visible(None) == html.visible("") == "" and html.visible("<p" * 50) != ""

@@ -44,5 +44,10 @@ LOCAL_NETWORKS = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32",
 )
+# IPv6 networks that aren't global.
+LOCAL_NETWORKS_V6 = (
+    "0:0:0:0:0:0:0:0/128", "0:0:0:0:0:0:0:1/128", "64:ff9b:1::/48", "100:0:0:0::/64", "2001:0::/23", "2001:db8::/32", "2002::/16", "3fff::/20",
+    "fc00::/7", "fe80::/10",
+)
 # Models in their order, with what they read.
 MODELS = (("url_cnn", "url"), ("url_lstm", "url"), ("html_cnn", "html"), ("screenshot_cnn", "screenshot"), ("dual_branch_cnn", "url+html"), ("tri_branch_cnn", "url+html+screenshot"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +47,37 @@ def address(host: Column) -> Column:
     return F.when(valid, reduce(lambda a, b: a * 256 + b, quads))
 
 
+def hextets(host: Column) -> Column:
+    """The eight numbers of an IPv6 address (four dotted ones: an IPv4 address mapped into it); null if it's none.
+
+    The JVM parses literals in brackets without looking a name up.
+    """
+    full = F.regexp_extract(F.try_reflect(F.lit("java.net.InetAddress"), F.lit("getByName"), F.concat(F.lit("["), host, F.lit("]"))), r"/([0-9a-f:.]+)$", 1)
+    return F.when(full.contains("."), F.transform(F.split(full, r"\."), lambda x: x.cast("bigint"))).when(full != "", F.transform(F.split(full, ":"), lambda x: F.conv(x, 16, 10).cast("bigint")))
+
+
+def is_local_v6(x: Column) -> Column:
+    """Whether the eight numbers are an address that isn't global."""
+    tests = []
+    for net in lists.LOCAL_NETWORKS_V6:
+        prefix, _, bits = net.partition("/")
+        given = [int(y, 16) for y in prefix.split(":") if y]
+        whole, rest = divmod(int(bits), 16)
+        given += [0] * (whole + 1 - len(given))
+        same = [F.get(x, F.lit(i)) == given[i] for i in range(whole)]
+        if rest:
+            same.append(F.shiftright(F.get(x, F.lit(whole)), 16 - rest) == given[whole] >> (16 - rest))
+        tests.append(reduce(lambda a, b: a & b, same))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def ascii_host(host: Column) -> Column:
+    """The host with labels beyond ASCII encoded (IDNA); null if they can't be."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))).otherwise(host)
+
+
 def is_unsafe_host(host: Column) -> Column:
-    """PF4: local names and addresses that aren't global (IPv4)."""
+    """PF4: local names, and addresses that aren't global or, with a colon, none at all."""
 
     def local(n: Column) -> Column:
         nets = []
@@ -59,7 +87,11 @@ def is_unsafe_host(host: Column) -> Column:
             nets.append((n >= low) & (n < low + (1 << (32 - int(bits)))))
         return F.coalesce(reduce(lambda a, b: a | b, nets), F.lit(False))
 
-    named = lambda h: h.isin("localhost", "localhost.localdomain") | h.endswith(".localhost") | let(address(h), local)
+    def local_v6(x: Column) -> Column:
+        mapped = reduce(lambda a, b: a * 256 + b, [F.get(x, F.lit(i)) for i in range(4)])
+        return F.when(x.isNull(), True).when(F.size(x) == 4, local(mapped)).otherwise(is_local_v6(x))
+
+    named = lambda h: F.when(F.contains(h, F.lit(":")), let(hextets(h), local_v6)).otherwise(h.isin("localhost", "localhost.localdomain") | h.endswith(".localhost") | let(address(h), local))
     return let(F.regexp_replace(F.lower(host), r"\.+$", ""), named)
 
 
@@ -78,7 +110,7 @@ def _normalised(raw: Column, check_host: bool) -> Column:
             F.when(raw == "", "empty_url")
             .when(~u.rlike(SCHEME) | ~scheme.isin("http", "https"), "unsupported_scheme")
             .when(host == "", "missing_hostname")
-            .when(odd | bad_port, "invalid_url")
+            .when(F.coalesce(odd | bad_port, F.lit(True)) | (F.contains(host, F.lit(":")) & hextets(host).isNull()), "invalid_url")
         )
         if check_host:
             error = error.when(is_unsafe_host(clean), "unsafe_hostname")
@@ -90,12 +122,12 @@ def _normalised(raw: Column, check_host: bool) -> Column:
         joined = F.concat(scheme, F.lit("://"), clean, F.when(hidden, F.lit("")).otherwise(F.concat(F.lit(":"), plain)), F.when(path == "", F.lit("/")).otherwise(path), F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])))
         return let(error, lambda e: F.struct(F.when(e.isNull(), joined).alias("url"), e.alias("error")))
 
-    parts = lambda u: F.struct(F.lower(part(u, 1)).alias("scheme"), port(u).alias("port"), part(u, 3).alias("path"), part(u, 4).alias("query"), hostname(u).alias("host"))
+    parts = lambda u: F.struct(F.lower(part(u, 1)).alias("scheme"), port(u).alias("port"), part(u, 3).alias("path"), part(u, 4).alias("query"), ascii_host(hostname(u)).alias("host"))
     return let(raw, lambda r: let(F.when(F.instr(r, "://") > 0, r).otherwise(F.concat(F.lit("https://"), r)), lambda u: let(parts(u), lambda p: checked(r, u, p, p["host"]))))
 
 
 def normalise(url: Column) -> Column:
-    """U1 for ASCII hosts: struct(url, error); exactly one is null."""
+    """struct(url, error); exactly one is null."""
     return _normalised(strip(url), True)
 
 
@@ -118,42 +150,6 @@ def domain_to_url(value: Column) -> Column:
     return let(raw, made)
 
 
-def normalise_udf():
-    """U1 for any host, IDNA and IPv6 included, as an Arrow function: struct(url, error)."""
-
-    def one(value):
-        import ipaddress
-        from urllib.parse import urlsplit
-
-        raw = (value or "").strip()
-        if not raw:
-            return None, "empty_url"
-        try:
-            s = urlsplit(raw if "://" in raw else "https://" + raw)
-            if s.scheme.lower() not in ("http", "https"):
-                return None, "unsupported_scheme"
-            if not s.hostname:
-                return None, "missing_hostname"
-            host, p = s.hostname.encode("idna").decode().lower().rstrip("."), s.port
-        except ValueError:
-            return None, "invalid_url"
-        try:
-            unsafe = not ipaddress.ip_address(host).is_global
-        except ValueError:
-            unsafe = host in ("localhost", "localhost.localdomain") or host.endswith(".localhost")
-        if unsafe:
-            return None, "unsafe_hostname"
-        scheme = s.scheme.lower()
-        shown = "" if p is None or (scheme, p) in (("http", 80), ("https", 443)) else f":{p}"
-        return f"{scheme}://{host}{shown}{s.path.rstrip('/') or '/'}{'?' + s.query if s.query else ''}", None
-
-    @F.pandas_udf("url string, error string")
-    def of(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in urls], columns=["url", "error"])
-
-    return of
-
-
 def matches(host: Column, domain: str) -> Column:
     """U7."""
     return (host == domain) | host.endswith("." + domain)

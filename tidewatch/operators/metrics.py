@@ -87,16 +87,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "model", ord_col: str = "o
     return kept.unionByName(later)
 
 
-def early_stopping(epochs: DataFrame, patience: int = 3) -> DataFrame:
+def early_stopping(epochs: DataFrame, patience: int = 3, training: str | None = None) -> DataFrame:
     """(epoch, val_f1) with the best so far, epochs since it, and whether training ends there.
 
-    One row an epoch: a log is as long as a training, so its window needs no key.
+    ``training`` names the column that tells logs apart; without it all rows are the epochs of one training.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy("epoch")
+    key = [training] if training else []
+    w = Window.partitionBy(*(key or [F.lit(1)])).orderBy("epoch")
     best = F.coalesce(F.max("val_f1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0))
     better = epochs.withColumn("improved", (F.col("val_f1") > best).cast("int"))
     marked = better.withColumn("island", F.sum("improved").over(w))
-    waited = F.row_number().over(Window.partitionBy("island").orderBy("epoch")) - F.when(F.col("island") > 0, 1).otherwise(0)
+    waited = F.row_number().over(Window.partitionBy(*key, "island").orderBy("epoch")) - F.when(F.col("island") > 0, 1).otherwise(0)
     out = marked.withColumn("waited", waited).withColumn("_stops", (F.col("waited") >= patience).cast("int"))
     before = F.coalesce(F.sum("_stops").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_before", before).where("_before = 0").select("epoch", "val_f1", "improved", "waited", F.col("_stops").alias("stops"))
+    return out.withColumn("_before", before).where("_before = 0").select(*key, "epoch", "val_f1", "improved", "waited", F.col("_stops").alias("stops"))

@@ -65,8 +65,12 @@ def build_candidates(s, d):
 
 
 def corpus(s, d):
-    """A training corpus: every third page."""
-    return pages_x(s, d).where("page_id % 3 = 0").select("url", "html", "label", F.when(F.col("page_id") % 2 == 0, "trainval").otherwise("test").alias("split"))
+    """All pages as a training corpus."""
+    return _corpus(pages_x(s, d))
+
+
+def _corpus(pages):
+    return pages.select("url", "html", "label", F.when(F.col("page_id") % 2 == 0, "trainval").otherwise("test").alias("split"))
 
 
 def leakage_index(s, d):
@@ -86,7 +90,7 @@ def leakage_cache(s, d):
 def leakage_probe(s, d):
     p = pages_x(s, d).where("page_id % 3 <> 0").withColumn("n", url.normalise(F.col("url")))
     batch = p.select("page_id", F.col("n.url").alias("url"), html.fingerprint(F.col("html")).alias("html_hash"), url.hostname(F.col("n.url")).alias("domain"), "label")
-    return leakage.probe(batch, leakage.index(corpus(s, d))).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
+    return leakage.probe(batch, leakage.index(_corpus(pages_x(s, d).where("page_id % 3 = 0")))).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
 
 
 def duplicate_texts(s, d):
@@ -174,7 +178,8 @@ inlist = lambda xs: ", ".join(quoted(x) for x in xs)
 SIGNATURE = "coalesce(" + ", ".join(f"CASE WHEN contains({url_queries.COLLAPSED}, {quoted(x)}) THEN {quoted(x)} END" for x in lists.ERROR_SIGNATURES) + ")"
 REASON = f"""WITH {NORMAL}, {WITH_PAGES}, reasons AS (SELECT p.page_id, coalesce(n.error, CASE WHEN status >= 400 THEN concat('http_status_', CAST(status AS STRING)) END, CASE WHEN NOT contains(lower(content_type), 'html') THEN 'non_html_content_type' END,
   CASE WHEN length(html) < 100 THEN 'html_too_short' END, CASE WHEN {SIGNATURE} IS NOT NULL THEN concat('error_page:', {SIGNATURE}) END) AS reason FROM pages_x p JOIN normal n USING (page_id))"""
-CORPUS = f"WITH {NORMAL}, {WITH_PAGES}, corpus AS (SELECT p.page_id, n.url, html, label, CASE WHEN p.page_id % 2 = 0 THEN 'trainval' ELSE 'test' END AS split FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 = 0)"
+CORPUS = f"WITH {NORMAL}, {WITH_PAGES}, corpus AS (SELECT p.page_id, n.url, html, label, CASE WHEN p.page_id % 2 = 0 THEN 'trainval' ELSE 'test' END AS split FROM pages_x p JOIN normal n USING (page_id))"
+THIRD = lambda sql: sql.replace("JOIN normal n USING (page_id))", "JOIN normal n USING (page_id) WHERE p.page_id % 3 = 0)")
 DOMAIN = "regexp_extract(url, '^https?://([^/:?]*)', 1)"
 INDEX = f"{CORPUS}, idx AS (SELECT 'url' AS kind, url AS key FROM corpus WHERE url IS NOT NULL UNION SELECT 'html_hash', sha256({url_queries.CANONICAL}) FROM corpus UNION SELECT 'phishing_domain', {DOMAIN} FROM corpus WHERE url IS NOT NULL AND label = 1 AND split = 'trainval')"
 BITS = "bits AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings)"
@@ -194,7 +199,7 @@ SELECT url, label, CASE WHEN label = 1 THEN 'feed' ELSE 'tranco' END AS source,
     "leakage_index": f"{INDEX} SELECT * FROM idx",
     "leakage_cache": f"{INDEX} SELECT * FROM idx",
     "leakage_stats": f"{CORPUS} SELECT CASE WHEN url IS NULL THEN 'url_errors' ELSE 'urls' END AS stat, count(*) AS n FROM corpus GROUP BY 1 UNION ALL SELECT 'html', count(*) FROM corpus",
-    "leakage_probe": f"""{INDEX}, batch AS (SELECT p.page_id, n.url, sha256({url_queries.CANONICAL}) AS h FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 <> 0)
+    "leakage_probe": f"""{THIRD(INDEX)}, batch AS (SELECT p.page_id, n.url, sha256({url_queries.CANONICAL}) AS h FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 <> 0)
 SELECT page_id, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'url' AND key = url) AS INT) AS in_url, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'html_hash' AND key = h) AS INT) AS in_html_hash, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'phishing_domain' AND key = {DOMAIN}) AS INT) AS in_phishing_domain FROM batch""",
     "duplicate_texts": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first",
     "hamming_pairs": f"WITH {BITS}, copies AS (SELECT vec_id + 1000000 AS vec_id, concat(translate(substring(b, 1, CAST(vec_id % 9 AS INT)), '01', '10'), substring(b, CAST(vec_id % 9 AS INT) + 1)) AS b FROM bits) SELECT x.vec_id AS a, y.vec_id AS b, hamming(x.b, y.b) AS distance FROM bits x, copies y WHERE hamming(x.b, y.b) <= 5",

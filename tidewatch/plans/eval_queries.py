@@ -155,8 +155,9 @@ def upsert_results(s, d):
 
 
 def early_stopping(s, d):
-    log = table(s, d, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("epoch"), (F.col("o_orderkey") * 7919 % 997 / F.lit(1000.0)).alias("val_f1"))
-    return metrics.early_stopping(log.orderBy("epoch").limit(15), 3)
+    """Each customer's orders are the epochs of one training."""
+    log = table(s, d, "orders").select(F.col("o_custkey").alias("training"), F.col("o_orderkey").alias("epoch"), (F.col("o_orderkey") * 7919 % 997 / F.lit(1000.0)).alias("val_f1"))
+    return metrics.early_stopping(log, 3, "training")
 
 
 # ---- SQL
@@ -244,10 +245,10 @@ SELECT concat('audited_batch_', base, '_x') AS rec_id, 'trainval' AS split, conc
 UNION ALL SELECT 'base1', 'trainval', 'https://base.test/', 'base.html', 'base.png', 0, '', 'directory'""",
     "upsert_results": f"""{P}, cells AS (SELECT model, {CELLS.format(t='5e-1')} FROM predictions_x GROUP BY model)
 SELECT model, round({F1}, 9) AS f1, CASE WHEN model = 'scorer_2' THEN 5 ELSE 6 END AS ord FROM cells WHERE model IN ('scorer_2', 'scorer_6') UNION ALL SELECT * FROM (VALUES ('scorer_1', 5e-1, 1), ('scorer_3', 5e-1, 3), ('other', 25e-2, 4)) t(model, f1, ord)""",
-    "early_stopping": """WITH RECURSIVE log AS (SELECT o_orderkey AS epoch, (o_orderkey * 7919 % 997) / 1e3 AS val_f1, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 50 = 1 ORDER BY 1 LIMIT 15),
-run AS (SELECT epoch, val_f1, k, 1 AS improved, val_f1 AS best, 0 AS waited FROM log WHERE k = 1 UNION ALL
-  SELECT l.epoch, l.val_f1, l.k, CAST(l.val_f1 > r.best AS INT), greatest(l.val_f1, r.best), CASE WHEN l.val_f1 > r.best THEN 0 ELSE r.waited + 1 END FROM run r JOIN log l ON l.k = r.k + 1 WHERE r.waited < 3)
-SELECT epoch, val_f1, improved, waited, CAST(waited >= 3 AS INT) AS stops FROM run""",
+    "early_stopping": """WITH RECURSIVE log AS (SELECT o_custkey AS training, o_orderkey AS epoch, (o_orderkey * 7919 % 997) / 1e3 AS val_f1, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+run AS (SELECT training, epoch, val_f1, k, 1 AS improved, val_f1 AS best, 0 AS waited FROM log WHERE k = 1 UNION ALL
+  SELECT l.training, l.epoch, l.val_f1, l.k, CAST(l.val_f1 > r.best AS INT), greatest(l.val_f1, r.best), CASE WHEN l.val_f1 > r.best THEN 0 ELSE r.waited + 1 END FROM run r JOIN log l ON l.training = r.training AND l.k = r.k + 1 WHERE r.waited < 3)
+SELECT training, epoch, val_f1, improved, waited, CAST(waited >= 3 AS INT) AS stops FROM run""",
 }
 
 _FUNCTIONS = (predictions_fact, confusion_metrics, roc_auc, roc_points, classification_report, metrics_from_cm, model_comparison, best_model, model_inputs, misclassified, threshold_grid, threshold_curve, model_errors, hard_samples, hardest_samples, source_domain_errors, prediction_totals, audit_queue, audit_queue_all_models, audit_priorities, audited_index, upsert_results, early_stopping)

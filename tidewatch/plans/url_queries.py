@@ -25,8 +25,13 @@ def feed_normalise(s: SparkSession, d: str) -> DataFrame:
     return pages_x(s, d).select("page_id", url.normalise_feed(F.col("url")).alias("n")).select("page_id", "n.url", "n.error")
 
 
+#: Hosts beyond plain names, one for each page in turn, and what the normaliser says of them.
+ODD_HOSTS = ("bücher.example", "[::1]", "[fe80::1]:8080", "[::ffff:10.0.0.1]", "[2606:4700::1111]", "[2001:db8::7]", "[not::an::address]", "localhost", "192.168.1.7", "MÜNCHEN.de", "8.8.8.8")
+ODD_RESULTS = ("xn--bcher-kva.example", "", "", "", "2606:4700::1111", "", "!", "", "", "xn--mnchen-3ya.de", "8.8.8.8")
+
+
 def url_normalise_idna(s: SparkSession, d: str) -> DataFrame:
-    return pages_x(s, d).select("page_id", url.normalise_udf()(F.col("url")).alias("n")).select("page_id", "n.url", "n.error")
+    return pages_x(s, d).select("page_id", url.normalise(F.concat(F.lit("http://"), F.element_at(F.array(*map(F.lit, ODD_HOSTS)), (F.pmod("page_id", F.lit(len(ODD_HOSTS))) + 1).cast("int")), F.lit("/"), F.col("page_id"))).alias("n")).select("page_id", "n.url", "n.error")
 
 
 def domain_urls(s: SparkSession, d: str) -> DataFrame:
@@ -103,7 +108,7 @@ def error_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_normalise(s: SparkSession, d: str) -> DataFrame:
-    return pages_x(s, d).select("page_id", text.normalise(F.substring("html", 1, 2000)).alias("v")).select("page_id", F.length("v").cast("bigint").alias("n"), F.md5("v").alias("digest"))
+    return pages_x(s, d).select("page_id", text.normalise(F.col("html")).alias("v")).select("page_id", F.length("v").cast("bigint").alias("n"), F.md5("v").alias("digest"))
 
 
 def strip_markup(s: SparkSession, d: str) -> DataFrame:
@@ -231,7 +236,7 @@ CASE WHEN page_id % 2 <> 0 AND score < 75e-2 THEN 'inconclusive' WHEN score >= 5
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS rk FROM c) SELECT label, string_agg(tld, '; ' ORDER BY rk) AS top FROM r WHERE rk <= 3 GROUP BY label""",
     "html_fingerprint": f"WITH {WITH_PAGES} SELECT sha256({CANONICAL}) AS html_sha256, count(*) AS n, min(page_id) AS first_page FROM pages_x GROUP BY 1",
     "error_page": f"WITH {WITH_PAGES}, e AS (SELECT page_id, coalesce({', '.join(f'CASE WHEN contains({COLLAPSED}, {quoted(x)}) THEN {quoted(x)} END' for x in lists.ERROR_SIGNATURES)}) AS signature FROM pages_x) SELECT * FROM e WHERE signature IS NOT NULL",
-    "text_normalise": f"WITH {WITH_PAGES}, v AS (SELECT page_id, {NORMAL('substring(html, 1, 2000)')} AS v FROM pages_x) SELECT page_id, length(v) AS n, md5(v) AS digest FROM v",
+    "text_normalise": f"WITH {WITH_PAGES}, v AS (SELECT page_id, {NORMAL('html')} AS v FROM pages_x) SELECT page_id, length(v) AS n, md5(v) AS digest FROM v",
     "strip_markup": f"WITH {WITH_PAGES}, v AS (SELECT page_id, " + NORMAL(r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + " AS v FROM pages_x) SELECT page_id, length(v) AS n, md5(v) AS digest FROM v",
     "char_encode": "WITH c AS (SELECT conv_id, turn, list_transform(range(1, 201), lambda i: CASE WHEN i <= length(text) THEN least(unicode(substring(lower(text), i, 1)), 127) ELSE 0 END) AS ids FROM conversations) SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n, CAST(list_sum(ids) AS BIGINT) AS total, md5(array_to_string(ids, ',')) AS digest FROM c",
 }
@@ -240,3 +245,7 @@ QUERIES = {f.__name__: f for f in (url_parts, url_normalise, feed_normalise, url
 SQL["online_predict"] = f"""{FEATURED} SELECT page_id, full_url, CASE WHEN score < 75e-2 THEN 'inconclusive' WHEN score >= 5e-1 THEN 'phishing' ELSE 'legitimate' END AS decision, CASE WHEN score >= 75e-2 THEN 'phishing' ELSE 'suspicious' END AS risk_level,
 round(score, 4) AS phishing_probability, 'rules' AS model_source, html_available FROM featured JOIN (SELECT page_id, full_url, url FROM hosts) USING (page_id) WHERE length(trim(url)) BETWEEN 3 AND 2048"""
 SQL["domain_urls"] = f"WITH {PARTS} SELECT page_id, CASE WHEN host = '' THEN NULL ELSE concat('https://', host, '/') END AS url, CASE WHEN host = '' THEN 'empty_url' END AS error FROM hosts"
+
+_RESULTS = ", ".join(f"'{r}'" for r in ODD_RESULTS)
+SQL["url_normalise_idna"] = f"""SELECT page_id, CASE WHEN r NOT IN ('', '!') THEN concat('http://', r, '/', page_id) END AS url, CASE r WHEN '' THEN 'unsafe_hostname' WHEN '!' THEN 'invalid_url' END AS error
+FROM (SELECT page_id, [{_RESULTS}][page_id % {len(ODD_RESULTS)} + 1] AS r FROM pages)"""
