@@ -69,6 +69,17 @@ def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """What a worker has freed goes back to the system: an idle worker is kept for the next task, and so is what it holds."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
@@ -95,6 +106,8 @@ def append(df: DataFrame, text_col: str, fields: list[tuple[str, str]], start: C
             made = make(b.column(at).to_pylist())
             columns = [*b.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *(n for n, _ in fields)])
+        make = made = columns = None
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, few_or_not, free_name, materialised, short_batches
+from .common import append, few_or_not, free_name, materialised, release, short_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 D, FOLDS = 0.75, 5
@@ -214,6 +214,8 @@ def blocks(train: DataFrame, buckets: int, often: Often) -> DataFrame:
                     keys, counts, parts, bits, held = [], [], [], [], 0
         if held:
             yield from out()
+        del keys, counts, parts, bits, known
+        release()
 
     short_batches(train.sparkSession)
     return train.select("text", "toxic", "fold", "kind").mapInArrow(run, "bucket int, data binary")
@@ -292,6 +294,8 @@ def grams(packed: DataFrame, often: Often, share: dict[bool, float]) -> DataFram
                 held.append(unpacked(data))
         if held:
             yield from solved(held)
+        del held
+        release()
 
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, GRAMS)
 
