@@ -94,6 +94,8 @@ def test_hamming_pairs_are_brute_force(spark):
     right = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(near)], "b int, hb bigint")
     want = {(i, j, (x ^ y).bit_count()) for i, x in enumerate(base) for j, y in enumerate(near) if (x ^ y).bit_count() <= 5}
     assert {tuple(r) for r in hamming.near_pairs(left, right).collect()} == want
+    hashes = lambda df, c, to: df.select(F.col(c).alias(to)).union(spark.createDataFrame([(None,)], f"{to} bigint"))
+    assert {r.ha for r in hamming.near_any(hashes(left, "ha", "ha"), hashes(right, "hb", "hb")).collect()} == {signed(base[i]) for i, _, _ in want}
     assert column(spark, ["ffffffffffffffff", "0000000000000001"], hamming.from_hex) == [-1, 1]
 
 
@@ -194,6 +196,11 @@ def test_leakage_json_round_trip(spark):
     back = leakage.from_json(leakage.as_json(index, leakage.stats(corpus)))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, index.collect()))
     assert [r.key for r in index.where("kind = 'phishing_domain'").collect()] == ["a.test"]
+    shots = corpus.withColumn("dhash", F.when(F.col("label") == 1, F.lit(-1).cast("bigint")))
+    assert [r.key for r in leakage.index(shots).where("kind = 'screenshot_hash'").collect()] == ["f" * 16]
+    assert {r.stat: r.n for r in leakage.stats(shots).collect()} == {"urls": 3, "html": 2, "missing_html": 1, "screenshots": 2, "missing_screenshots": 1}
+    batch = spark.createDataFrame([(1, ~31), (2, ~63), (3, None), (4, ~31)], "n int, dhash bigint").selectExpr("*", "'u' AS url", "'h' AS html_hash", "'d' AS domain", "0 AS label")
+    assert {r.n: r.in_screenshot_hash for r in leakage.probe(batch, leakage.index(shots)).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
 def test_sources(spark, tmp_path):
@@ -229,6 +236,7 @@ def test_directories_and_sinks(spark, tmp_path):
     assert {r.reason: r.n for r in counts.collect()} == {"written": 1, "missing_screenshot": 1, "invalid_sample_name": 1}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "d"))
     assert [r.html for r in readers.with_payloads(rows, files, "trainval", 3).collect()] == ["bra"]
+    assert readers.with_payloads(rows, files.where("path not like '%.png'"), "trainval", 3).count() == 0
     batch = spark.createDataFrame([("L00001_legitimate", "https://l.test", "<a>", b"x", 0), ("P00001_phishing", "https://p.test", "<b>", b"y", 1)], "sample_id string, url string, html string, screenshot binary, label int")
     for _ in range(2):
         assert writers.samples(batch, str(tmp_path / "out")).count() == 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import leakage
 from tidewatch.plans import workflow
+from tidewatch.sources import readers
 
 
 def test_names_and_paths():
@@ -43,6 +44,26 @@ def test_collect_evaluate_retrain(spark):
         workflow.retrain(base, samples, audits.where("ord = 2"), "week")
 
 
+def test_collect_resumes_and_knows_screenshots(spark):
+    page = lambda i: f"<p>{i}</p>" * 30
+    corpus = spark.createDataFrame([("https://bad.test/old", page("known"), 1, "trainval", 0xFF)], "url string, html string, label int, split string, dhash bigint")
+    names = ["done", "tried", "shot", "fault", "redirect", "barred", "own", "ownshot", "fresh", "more"]
+    at = [f"https://{n}.test/" for n in names]
+    final = dict(zip(names, at, strict=True)) | {"redirect": "https://bad.test/old", "barred": "https://bad.test/landing", "own": "https://done.test/end"}
+    dhash = {n: 0xFFFF << (4 * i) for i, n in enumerate(names)} | {"shot": 0xFE, "ownshot": (1 << 62) + 1, "fresh": None}
+    candidates = spark.createDataFrame([(i, u, int(n == "barred")) for i, (n, u) in enumerate(zip(names, at, strict=True))], "ord bigint, url string, label int")
+    rows = [(u, final[n], page(n), 200, "text/html", dhash[n], "blank_screenshot" if n == "fault" else None) for n, u in zip(names, at, strict=True)]
+    captures = spark.createDataFrame(rows, "url string, final_url string, html string, status int, content_type string, dhash bigint, shot_error string")
+    before = spark.createDataFrame([("L00002_legitimate", 0, "https://done.test/", "https://done.test/end", "h", "4000000000000000")], "sample_id string, label int, normalized_original_url string, normalized_final_url string, html_sha256 string, screenshot_dhash string")
+    rejected = spark.createDataFrame([("https://tried.test/", 0)], "normalized_url string, mapped_label int")
+    files = spark.createDataFrame([("L00002_legitimate", k) for k in "abcde"], "sample_id string, kind string")
+    state = readers.resume(spark, before, rejected, files)
+    out = workflow.collect(candidates, captures, leakage.index(corpus), {0: 2, 1: 1}, state=state)
+    reasons = {names[r.ord]: r.reason for r in out["rejected"].collect()}
+    assert reasons == {"shot": "duplicate_screenshot", "fault": "blank_screenshot", "redirect": "duplicate_final_url", "barred": "phishing_training_domain_after_redirect", "own": "duplicate_final_url", "ownshot": "duplicate_screenshot"}
+    assert [(r.url, r.sample_id) for r in out["accepted"].collect()] == [("https://fresh.test/", "L00001_legitimate")]
+
+
 def test_predict(spark):
     pages = spark.createDataFrame([("https://paypal-login.secure.xyz/verify", "<form><input type='password'></form>"), ("ab", None), ("https://plain.test/", None)], "url string, html string")
     got = {r.url: r for r in workflow.predict(pages).collect()}

@@ -33,7 +33,11 @@ def prepared(rows: DataFrame, min_html: int = MIN_HTML) -> DataFrame:
 
 
 def admit(rows: DataFrame, quotas: dict[int, int], radius: int = RADIUS, max_candidates: int = 0, known: dict[str, set] | None = None) -> DataFrame:
-    """ST1: (ord, label, outcome) of every row reached: ``accepted`` or the reason of its rejection."""
+    """ST1: (ord, label, outcome) of every row reached: ``accepted`` or the reason of its rejection.
+
+    Rows may have flags ``in_final_url``, ``in_html_hash`` and ``in_screenshot_hash`` (1: held by training data or samples
+    accepted before) and the reasons ``shot_error`` and ``last``, each tested at its place in the order.
+    """
     known = known or {}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -46,8 +50,10 @@ def admit(rows: DataFrame, quotas: dict[int, int], radius: int = RADIUS, max_can
                 continue
             n += 1
             tried.add((r.url, r.label))
+            has = lambda flag: getattr(r, flag, 0) == 1  # noqa: B023, E731
+            why = lambda c: getattr(r, c, None)  # noqa: B023, E731
             near = r.dhash is not None and not pd.isna(r.dhash) and any(((int(r.dhash) ^ s) & (1 << 64) - 1).bit_count() <= radius for s in shots)
-            checks = (("duplicate_original_url", r.url in urls), (r.early, isinstance(r.early, str)), ("duplicate_final_url", r.final_url in urls), (r.late, isinstance(r.late, str)), ("duplicate_html", r.html_hash in pages), ("duplicate_screenshot", near))
+            checks = (("duplicate_original_url", r.url in urls), (r.early, isinstance(r.early, str)), ("duplicate_final_url", has("in_final_url") or r.final_url in urls), (r.late, isinstance(r.late, str)), ("duplicate_html", has("in_html_hash") or r.html_hash in pages), (why("shot_error"), isinstance(why("shot_error"), str)), ("duplicate_screenshot", has("in_screenshot_hash") or near), (why("last"), isinstance(why("last"), str)))
             reason = next((name for name, fails in checks if fails), None)
             out.append((r.ord, r.label, reason or "accepted"))
             if reason is None:

@@ -27,23 +27,40 @@ def paths(root: str, name: str) -> dict[str, str]:
     return {k: f"{root}/{name}/{k}" for k in ("candidates", "accepted", "rejected", "predictions", "comparison", "audit_queue", "index")}
 
 
-def collect(candidates: DataFrame, captures: DataFrame, known: DataFrame, quotas: dict[int, int], exclude_domains: bool = True) -> dict[str, DataFrame]:
+def collect(candidates: DataFrame, captures: DataFrame, known: DataFrame, quotas: dict[int, int], exclude_domains: bool = True, state: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Candidates (ord, url, label) and their captures (url, final_url, html, status, content_type, dhash): accepted and rejected rows.
 
     What needs no order is tested by joins with the leakage index before the ordered admission: a row that training
-    data already hold is rejected whatever comes before it.
+    data already hold is rejected whatever comes before it. Captures may have ``shot_error``, the screenshot's fault.
+    With ``state``, what readers.resume() found, a stopped collection goes on: attempted keys are not tried again, quotas
+    and numbers continue, and samples accepted before claim their keys.
     """
     c = candidates.withColumn("n", url.normalise(F.col("url"))).where("n.error is null").select("ord", "label", F.col("n.url").alias("url"))
+    used = candidates.where("false").select("label", F.lit(0).cast("bigint").alias("number"))
+    if state:
+        c = c.join(state["attempted"].select("url", "label"), ["url", "label"], "left_anti")
+        before = {r["label"]: r["n"] for r in state["counts"].where(F.col("label").isin(*quotas)).collect()}  # a row for each label of the quotas
+        quotas = {y: n - before.get(y, 0) for y, n in quotas.items()}
+        known = known.unionByName(leakage.claimed(state["accepted"])).distinct()
+        numbered = F.when(F.substring("sample_id", 1, 1) == "L", 0).otherwise(1)
+        number = F.regexp_extract("sample_id", "^[LP]([0-9]+)_", 1)
+        used = state["accepted"].where(number != "").select(numbered.alias("label"), number.cast("bigint").alias("number"))
     rows = c.join(captures.withColumnRenamed("url", "captured"), F.col("url") == F.col("captured"), "left").drop("captured")
     flagged = rows.withColumn("html_hash", html.fingerprint(F.col("html"))).withColumn("domain", url.hostname(F.col("url")))
     flagged = leakage.probe(flagged, known)
-    leak = F.when(F.col("in_url") == 1, "duplicate_original_url").when((F.col("in_phishing_domain") == 1) & (F.col("label") == 1) & F.lit(exclude_domains), "phishing_training_domain").when(F.col("html").isNull(), "crawl_error")
+    barred = lambda flag: (F.col(flag) == 1) & (F.col("label") == 1) & F.lit(exclude_domains)
+    leak = F.when(F.col("in_url") == 1, "duplicate_original_url").when(barred("in_phishing_domain"), "phishing_training_domain").when(F.col("html").isNull(), "crawl_error")
+    shot_error = (F.col("shot_error") if "shot_error" in captures.columns else F.lit(None)).cast("string").alias("shot_error")
     flagged = flagged.withColumn("leak", leak)
-    ready = admission.prepared(flagged).join(flagged.select("ord", "leak", "in_html_hash"), "ord")
-    ready = ready.withColumn("early", F.coalesce("leak", "early")).withColumn("late", F.coalesce("late", F.when(F.col("in_html_hash") == 1, "duplicate_html"))).drop("leak", "in_html_hash")
-    out = admission.admit(ready, quotas).join(flagged.drop("label", "leak", "in_url", "in_html_hash", "in_phishing_domain"), "ord")
+    ready = admission.prepared(flagged).join(flagged.select("ord", "leak", "in_html_hash", "in_screenshot_hash", shot_error), "ord").withColumn("early", F.coalesce("leak", "early")).drop("leak")
+    for kind, key, flag in (("url", F.col("final_url"), "in_final_url"), ("phishing_domain", url.hostname(F.col("final_url")), "in_final_domain")):
+        keys = known.where(F.col("kind") == kind).select(F.col("key").alias("_key"))
+        ready = ready.join(keys, key == F.col("_key"), "left").withColumn(flag, F.col("_key").isNotNull().cast("int")).drop("_key")
+    ready = ready.withColumn("last", F.when(barred("in_final_domain"), "phishing_training_domain_after_redirect")).drop("in_final_domain")
+    flags = [f for f in flagged.columns if f.startswith("in_")]
+    out = admission.admit(ready, quotas).join(flagged.drop("label", "leak", "shot_error", *flags), "ord")
     accepted = out.where("outcome = 'accepted'").drop("outcome")
-    return {"accepted": dedup.sample_ids(accepted, accepted.where("false").select("label", F.lit(0).cast("bigint").alias("number"))), "rejected": out.where("outcome <> 'accepted'").select("ord", "label", "url", F.col("outcome").alias("reason"))}
+    return {"accepted": dedup.sample_ids(accepted, used), "rejected": out.where("outcome <> 'accepted'").select("ord", "label", "url", F.col("outcome").alias("reason"))}
 
 
 def evaluate(samples: DataFrame, scorers: dict[str, Callable[[], Column]], thresholds: dict[str, float] | None = None, focus: str | None = None) -> dict[str, DataFrame]:

@@ -143,12 +143,14 @@ def sample_directory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 
 
 def with_payloads(index: DataFrame, files: DataFrame, split: str | None = None, html_chars: int = 2000) -> DataFrame:
-    """SRC8, J12: index rows whose pages are there, with the page's start; a label other than 0 or 1 raises."""
+    """SRC8, J12: index rows whose pages and screenshots are there, with the page's start; a label other than 0 or 1 raises."""
     rows = index.where(F.col("split") == split) if split else index
     rows = rows.where("coalesce(url, '') <> '' and coalesce(cast(label as string), '') <> ''")
     y = F.trim(F.col("label").cast("string"))
     rows = rows.withColumn("label", F.when(y.isin("0", "1"), y.cast("int")).otherwise(F.raise_error(F.concat(F.lit("label isn't 0 or 1: "), y)).cast("int")))
     pages = files.select(F.col("path").alias("html_file"), F.decode("content", "UTF-8").alias("html"))
+    if "screenshot_file" in rows.columns:
+        rows = rows.join(files.select(F.col("path").alias("screenshot_file")).distinct(), "screenshot_file", "left_semi")
     return rows.join(pages, "html_file").withColumn("html", F.substring("html", 1, html_chars))
 
 
