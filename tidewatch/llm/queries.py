@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, oracle, quality, sharding, simhash, token_counts, toxicity, vectors, warc
+from . import chat, codes, decontaminate, filter_audit, lines, mixing, oracle, quality, sharding, simhash, token_counts, toxicity, vectors, warc
 from .common import table
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": lambda s, d: quality.query(table(s, d, "documents"), table(s, d, "labels")),
         "op9_warc": lambda s, d: warc.query(table(s, d, "pages")),
         "op10_token_counts": lambda s, d: token_counts.query(table(s, d, "documents")),
+        "op11_line_dedup": lambda s, d: lines.query(table(s, d, "documents")),
+        "op12_vector_codes": lambda s, d: codes.query(table(s, d, "embeddings")),
+        "op13_filter_audit": lambda s, d: filter_audit.query(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
