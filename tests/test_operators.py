@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import html, image, lists, score, text, url
-from tidewatch.operators import admission, audit, calibration, dedup, errors, hamming, leakage, metrics, scoring
+from tidewatch.operators import admission, audit, calibration, dedup, errors, hamming, leakage, metrics, prefix, scoring
 from tidewatch.sources import feed, readers, writers
 
 
@@ -149,31 +149,71 @@ def test_four_places_as_python(spark):
     assert column(spark, values, errors.four_places, "double") == [f"{v:.4f}" for v in values]
 
 
-def sequential(rows, quotas):
+def sequential(rows, quotas, most=0):
     urls, pages, shots, left, tried, out = set(), set(), set(), dict(quotas), set(), []
     for o, y, u, f, h, s, early, late in rows:
-        if all(v <= 0 for v in left.values()):
+        if all(v <= 0 for v in left.values()) or most and len(out) >= most:
             break
-        if left[y] <= 0 or (u, y) in tried:
+        if left.get(y, 0) <= 0 or (u, y) in tried:
             continue
         tried.add((u, y))
-        reason = "duplicate_original_url" if u in urls else early or ("duplicate_final_url" if f in urls else None) or late or ("duplicate_html" if h in pages else None) or ("duplicate_screenshot" if any(bin(s ^ x).count("1") <= 5 for x in shots) else None)
+        near = s is not None and any((s ^ x).bit_count() <= 5 for x in shots)
+        reason = "duplicate_original_url" if u in urls else early or ("duplicate_final_url" if f in urls else None) or late or ("duplicate_html" if h in pages else None) or ("duplicate_screenshot" if near else None)
         out.append((o, y, reason or "accepted"))
         if not reason:
             left[y] -= 1
             urls |= {u, f}
             pages.add(h)
-            shots.add(s)
+            shots |= {s} - {None}
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_admission_is_sequential(spark, seed):
-    rng = random.Random(seed)
-    rows = [(i, rng.randint(0, 1), f"u{rng.randint(0, 25)}", f"u{rng.randint(0, 25)}", f"h{rng.randint(0, 30)}", rng.choice([0, 3, 255, 1 << 40, (1 << 50) - 1, 7 << 30]), rng.choice([None] * 5 + ["http_status_404"]), rng.choice([None] * 5 + ["html_too_short"])) for i in range(40)]
-    df = spark.createDataFrame(rows, "ord bigint, label int, url string, final_url string, html_hash string, dhash bigint, early string, late string")
-    got = sorted(tuple(r) for r in admission.admit(df.repartition(3), {0: 5, 1: 4}).collect())
-    assert got == sequential(rows, {0: 5, 1: 4})
+CANDIDATE = "ord bigint, label int, url string, final_url string, html_hash string, dhash bigint, early string, late string"
+#: Keys shared by many; keys of few, which fill quotas late; chains, in which every second row is accepted.
+SHAPES = {
+    "crowded": lambda rng, i: (f"u{rng.randint(0, 25)}", f"u{rng.randint(0, 25)}", f"h{rng.randint(0, 30)}", rng.choice([0, 3, 255, 1 << 40, (1 << 50) - 1, 7 << 30, None])),
+    "sparse": lambda rng, i: (f"u{rng.randint(0, 300)}", f"u{rng.randint(0, 300)}", f"h{rng.randint(0, 200)}", rng.getrandbits(62) if rng.random() < 0.7 else (1 << rng.randint(0, 40)) - 1),
+    "chain": lambda rng, i: (f"c{i}", f"c{i + 1}", f"h{i}", None),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize(("quotas", "most"), [({0: 5, 1: 4}, 0), ({0: 40, 1: 3}, 60), ({0: 0, 1: 6, 2: 4}, 0), ({0: 500, 1: 500}, 0)])
+def test_admission_is_sequential(spark, monkeypatch, shape, quotas, most):
+    rng = random.Random(f"{shape}{quotas}")
+    n = 24 if shape == "chain" else 120
+    rows = [(i * 3, rng.randint(0, 2), *SHAPES[shape](rng, i), rng.choice([None] * 5 + ["http_status_404"]), rng.choice([None] * 5 + ["html_too_short"])) for i in range(n)]
+    if most:
+        monkeypatch.setattr(admission, "WINDOW", 16)
+    got = sorted(tuple(r) for r in admission.admit(spark.createDataFrame(rows, CANDIDATE).repartition(3), quotas, max_candidates=most).collect())
+    assert got == sequential(rows, quotas, most)
+
+
+def test_admission_of_nothing_and_of_one_crowd(spark):
+    none = spark.createDataFrame([], CANDIDATE)
+    assert admission.admit(none, {0: 5}).count() == 0
+    crowd = [(i, 0, f"u{i}", f"u{i}", "same page", None, None, None) for i in range(3000)]
+    got = admission.admit(spark.createDataFrame(crowd, CANDIDATE), {0: 5}).groupBy("outcome").count().collect()
+    assert {r.outcome: r["count"] for r in got} == {"accepted": 1, "duplicate_html": 2999}
+    assert admission.admit(spark.createDataFrame(crowd, CANDIDATE), {0: 0}).count() == 0
+
+
+def test_running_sums_and_ranks_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b"] + ["hot"] * 5), rng.randint(-50, 50), i, rng.choice([None, *range(9)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x int, id int, v int").repartition(5)
+    w = Window.partitionBy("k").orderBy(F.desc("x"), "id")
+    want = df.select("*", F.sum(F.coalesce("v", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.row_number().over(w).cast("bigint").alias("n"))
+    got = prefix.running(df, ["k"], [F.desc("x"), F.col("id")], {"s": F.col("v"), "n": F.lit(1)})
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    ranks = {r.id: r["rank"] for r in prefix.ranked(df, [], [F.col("id")]).collect()}
+    assert ranks == {i: i + 1 for i in range(2000)}
+    assert prefix.ranked(df.where("id < 0"), ["k"], [F.col("id")]).count() == 0
+    # no window holds a whole key: partitions of the exchange bound them all
+    plan = prefix.ranked(df, ["k"], [F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_pid" in line for line in plan.splitlines() if line.strip(" +-:").startswith("Window"))
 
 
 def test_audit(spark):

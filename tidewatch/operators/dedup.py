@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import ranked, running
+
 
 def against_seen(rows: DataFrame, seen: DataFrame, key: str = "url", ord_col: str = "ord") -> DataFrame:
     """``rows`` with ``outcome``: duplicate_seen, duplicate_batch or accepted (the first of its key)."""
@@ -30,21 +32,19 @@ def merge_new(old: DataFrame, new: DataFrame, keys: list[str], ord_col: str) ->
 def sample_ids(rows: DataFrame, used: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Each row takes its label's smallest unused positive number, in order. ``used``: (label, number).
 
-    The free numbers of a label are found from the gaps between used ones, so no sequence is made for each label.
+    A used number u of rank r among its label's has u - r free numbers below it, so the k-th row's number is k and the used
+    numbers with u - r < k: a running sum over rows and used numbers together. Equal ``ord`` of a label take numbers in any order.
     """
-    w = Window.partitionBy("label").orderBy("number")
-    gaps = used.where("number > 0").distinct().withColumn("low", F.coalesce(F.lag("number").over(w), F.lit(0)) + 1).withColumn("n", F.col("number") - F.col("low")).where("n > 0")
-    last = used.groupBy("label").agg(F.max("number").alias("top"))
-    gaps = gaps.select("label", "low", "n").withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)))
-    gaps = gaps.select("label", "low", (F.coalesce("before", F.lit(0)) + 1).alias("from"), (F.coalesce("before", F.lit(0)) + F.col("n")).alias("to"))
-    free = gaps.groupBy("label").agg(F.max("to").alias("free"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(ord_col)))
-    placed = ranked.alias("r").join(gaps.alias("g"), (F.col("r.label") == F.col("g.label")) & F.col("r.k").between(F.col("g.from"), F.col("g.to")), "left").select("r.*", (F.col("g.low") + F.col("r.k") - F.col("g.from")).alias("inside"))
-    placed = placed.join(last, "label", "left").join(free, "label", "left")
-    number = F.coalesce("inside", F.coalesce("top", F.lit(0)) + F.col("k") - F.coalesce("free", F.lit(0)))
+    places = ranked(used.where("number > 0").select("label", "number").distinct(), ["label"], [F.col("number")], "_r")
+    skips = places.groupBy("label", (2 * (F.col("number") - F.col("_r")) + 1).alias("_at")).agg(F.count("*").alias("_skip"))
+    order = ranked(rows.select("label", F.col(ord_col).alias("_ord")), ["label"], [F.col("_ord")], "_k")
+    both = order.select("label", "_ord", "_k", (2 * F.col("_k")).alias("_at"), F.lit(0).cast("bigint").alias("_skip")).unionByName(skips, allowMissingColumns=True)
+    numbered = running(both, ["label"], [F.col("_at")], {"_skipped": F.col("_skip")}).where("_k is not null")
+    numbered = numbered.select(F.col("label").alias("_label"), "_ord", (F.col("_k") + F.col("_skipped")).cast("bigint").alias("number"))
+    number = F.col("number")
     digits = F.when(number < 100000, F.lpad(number.cast("string"), 5, "0")).otherwise(number.cast("string"))
     name = F.concat(F.when(F.col("label") == 0, "L").otherwise("P"), digits, F.when(F.col("label") == 0, "_legitimate").otherwise("_phishing"))
-    return placed.select(*rows.columns, number.cast("bigint").alias("number"), name.alias("sample_id"))
+    return rows.join(numbered, F.col("label").eqNullSafe(F.col("_label")) & F.col(ord_col).eqNullSafe(F.col("_ord"))).select(*rows.columns, "number", name.alias("sample_id"))
 
 
 def shuffled(key: Column, seed: int = 42) -> Column:
@@ -54,9 +54,10 @@ def shuffled(key: Column, seed: int = 42) -> Column:
 
 def stratified(rows: DataFrame, label: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """TK9: ``split`` is ``val`` for the first share of each label in the seeded order, else ``train``."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(shuffled(F.col(key), seed), key))
-    return rows.withColumn("split", F.when(rank <= F.floor(F.count("*").over(w) * share + 0.5), "val").otherwise("train"))
+    placed = ranked(rows.withColumn("_o", shuffled(F.col(key), seed)), [label], [F.col("_o"), F.col(key)], "_rank")
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    split = F.when(F.col("_rank") <= F.floor(F.col("_size") * share + 0.5), "val").otherwise("train")
+    return placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).select(*rows.columns, split.alias("split"))
 
 
 def build_candidates(phishing: DataFrame, legitimate: DataFrame, seen: DataFrame, n_phishing: int, n_legitimate: int, seed: int = 42) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is."""
@@ -40,8 +45,8 @@ def with_rates(cells: DataFrame) -> DataFrame:
 def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mid-rank AUC; null where only one class is there. Equal scores are combined before they're ranked."""
     at = rows.groupBy(*keys, "p").agg(F.count_if(F.col("true_label") == 1).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = at.withColumn("mid", below + (F.col("n") + 1) / F.lit(2.0))
+    below = F.col("upto") - F.col("n")
+    ranked = running(at, keys, [F.col("p")], {"upto": F.col("n")}).withColumn("mid", below + (F.col("n") + 1) / F.lit(2.0))
     out = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("mid")).alias("ranks"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     return out.select(*keys, F.try_divide(F.col("ranks") - F.col("np") * (F.col("np") + 1) / F.lit(2.0), (F.col("np") * F.col("nn")).cast("double")).alias("roc_auc"))
 
@@ -49,9 +54,10 @@ def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
 def roc_points(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(threshold, fpr, tpr), one point for each different score."""
     at = rows.groupBy(*keys, F.col("p").alias("threshold")).agg(F.count_if(F.col("true_label") == 1).alias("pos"), F.count_if(F.col("true_label") == 0).alias("neg"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(*keys, "threshold", ratio(F.sum("neg").over(up), F.sum("neg").over(w)).alias("fpr"), ratio(F.sum("pos").over(up), F.sum("pos").over(w)).alias("tpr"))
+    up = running(at, keys, [F.desc("threshold")], {"fp": F.col("neg"), "tp": F.col("pos")})
+    every = at.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.sum("neg").alias("n0"), F.sum("pos").alias("n1"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return up.join(every, same).select(*keys, "threshold", ratio(F.col("fp"), F.col("n0")).alias("fpr"), ratio(F.col("tp"), F.col("n1")).alias("tpr"))
 
 
 def classification_report(cells: DataFrame, keys: list[str], names: tuple[str, str] = ("legitimate", "phishing"), accuracy: bool = False) -> DataFrame:

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..streaming import streams
 from .views import table
 
 
 def scratch(s: SparkSession) -> str:
-    """A folder for sinks and checkpoints, in the shared folder where the session names one."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewatch-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for sinks and checkpoints in the shared folder."""
+    return shared.new_path(s, "stream")
 
 
 def source(s: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ def paths(root: str, name: str) -> dict[str, str]:
     return {k: f"{root}/{name}/{k}" for k in ("candidates", "accepted", "rejected", "predictions", "comparison", "audit_queue", "index")}
 
 
-def collect(candidates: DataFrame, captures: DataFrame, known: DataFrame, quotas: dict[int, int], exclude_domains: bool = True, state: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def collect(candidates: DataFrame, captures: DataFrame, known: DataFrame, quotas: dict[int, int], exclude_domains: bool = True, state: dict[str, DataFrame] | None = None, max_candidates: int = 0) -> dict[str, DataFrame]:
     """Candidates (ord, url, label) and their captures (url, final_url, html, status, content_type, dhash): accepted and rejected rows.
 
     What needs no order is tested by joins with the leakage index before the ordered admission: a row that training
@@ -58,7 +58,7 @@ def collect(candidates: DataFrame, captures: DataFrame, known: DataFrame, quotas
         ready = ready.join(keys, key == F.col("_key"), "left").withColumn(flag, F.col("_key").isNotNull().cast("int")).drop("_key")
     ready = ready.withColumn("last", F.when(barred("in_final_domain"), "phishing_training_domain_after_redirect")).drop("in_final_domain")
     flags = [f for f in flagged.columns if f.startswith("in_")]
-    out = admission.admit(ready, quotas).join(flagged.drop("label", "leak", "shot_error", *flags), "ord")
+    out = admission.admit(ready, quotas, max_candidates=max_candidates).join(flagged.drop("label", "leak", "shot_error", *flags), "ord")
     accepted = out.where("outcome = 'accepted'").drop("outcome")
     return {"accepted": dedup.sample_ids(accepted, used), "rejected": out.where("outcome <> 'accepted'").select("ord", "label", "url", F.col("outcome").alias("reason"))}
 

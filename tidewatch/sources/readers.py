@@ -71,6 +71,8 @@ def candidates(spark: SparkSession, path: str, layout: str = "header", url_colum
     """
     from pyspark.sql import Window
 
+    from ..operators.prefix import ranked
+
     reader = spark.read.options(header=layout == "header", **CSV)
     if layout == "header":
         rows = require(reader.csv(path), [url_column] + ([label_column] if fixed_label is None else []))
@@ -81,13 +83,13 @@ def candidates(spark: SparkSession, path: str, layout: str = "header", url_colum
         url = F.col("c1") if layout == "tranco" else F.col(f"c{url_index}")
         label = F.lit("0") if layout == "tranco" else F.col(f"c{label_index}") if fixed_label is None else F.lit(str(fixed_label))
     rows = ordinal(rows).select("ord", F.coalesce(url, F.lit("")).alias("original_url"), F.coalesce(label, F.lit("")).alias("raw_label"))
-    # a file of candidates is one human-made list: its rows are numbered in one window
-    rows = rows.withColumn("input_row", F.row_number().over(Window.orderBy("ord")) + (1 if layout == "header" else 0))
+    rows = ranked(rows, [], [F.col("ord")], "input_row").withColumn("input_row", F.col("input_row") + (1 if layout == "header" else 0))
     if max_rows:
         rows = rows.where(F.col("input_row") <= max_rows + (1 if layout == "header" else 0))
     n, y = normalise(F.col("original_url")), label_of(F.col("raw_label"))
     rows = rows.withColumn("_n", n).withColumn("label", y).withColumn("_e", F.coalesce(F.when(y.isNull(), F.lit("unmapped_label")), F.col("_n.error")))
-    valid = Window.partitionBy(F.when(F.col("_e").isNull(), F.col("_n.url"))).orderBy("input_row")
+    # invalid rows are each their own group, as there may be very many
+    valid = Window.partitionBy(F.when(F.col("_e").isNull(), F.col("_n.url")).otherwise(F.concat(F.lit("#"), F.col("input_row")))).orderBy("input_row")
     first = F.first("label").over(valid.rowsBetween(Window.unboundedPreceding, 0))
     again = F.when(F.row_number().over(valid) > 1, F.when(F.col("label") == first, "duplicate_input_url").otherwise("conflicting_input_label"))
     reason = F.when(F.col("_e").isNotNull(), F.col("_e")).otherwise(again)

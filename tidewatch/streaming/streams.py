@@ -1,4 +1,4 @@
-"""Streams: seen URLs, prediction logs, windows over event time, admission as state."""
+"""Streams: seen URLs, prediction logs, windows over event time."""
 
 from __future__ import annotations
 
