@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.plans import registry
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"html_tokens", "neural_scores", "logistic_scores"}
+ROWS_ONLY = {"html_tokens", "html_signals", "neural_scores", "logistic_scores"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 

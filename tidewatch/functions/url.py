@@ -187,21 +187,25 @@ URL_FEATURES = (
 )
 
 
-def features(url: Column) -> dict[str, Column]:
-    """U8: the 23 features of a URL."""
-    u = with_scheme(url)
-    low, host, query = F.lower(u), hostname(u), part(u, 4)
+def features(url: Column) -> Column:
+    """U8: the 23 features of a URL as one struct. Select it first and its fields afterwards, so that it's computed once."""
+    path = lambda u: F.regexp_replace(part(u, 3), ";[^/]*$", "")
+    parts = lambda u: F.struct(u.alias("url"), F.lower(u).alias("low"), hostname(u).alias("host"), path(u).alias("path"), part(u, 4).alias("query"))
+    made = lambda p: _features(*(p[k] for k in ("url", "low", "host", "path", "query")))
+    return let(with_scheme(url), lambda u: let(parts(u), lambda p: F.struct(*(c.alias(k) for k, c in zip(URL_FEATURES, made(p), strict=True)))))
+
+
+def _features(u: Column, low: Column, host: Column, path: Column, query: Column) -> list[Column]:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     ip = host.rlike(IP)
     less = lambda pattern: (F.length(u) - F.length(F.regexp_replace(u, pattern, ""))).cast("int")
-    made = [
-        F.length(u), F.length(part(u, 2)), F.length(F.regexp_replace(part(u, 3), ";[^/]*$", "")), F.length(query), less(r"\."), less("-"), less("[0-9]"),
+    return [
+        F.length(u), F.length(part(u, 2)), F.length(path), F.length(query), less(r"\."), less("-"), less("[0-9]"),
         less(r"[^\p{L}\p{N}]"), flag(F.lower(part(u, 1)) == "https"), flag(ip), flag(F.contains(u, F.lit("@"))),
         F.when(ip, F.lit(0)).otherwise(F.greatest(F.size(labels) - 2, F.lit(0))), flag(F.try_element_at(labels, F.lit(-1)).isin(*lists.RISKY_TLDS)),
         flag(host.isin(*lists.SHORTENERS)), flag(F.contains(host, F.lit("xn--"))), flag(F.contains(u, F.lit("%"))),
-        flag(any_of([F.contains(F.lower(query), F.lit(f"{p}=")) for p in lists.REDIRECT_PARAMS])),
-        flag(F.regexp_count(low, F.lit("https?://")) > 1), flag(F.concat(host, F.regexp_replace(part(u, 3), ";[^/]*$", ""), query).rlike("(?i)[a-z0-9]{18,}")),
+        let(F.lower(query), lambda q: flag(any_of([F.contains(q, F.lit(f"{p}=")) for p in lists.REDIRECT_PARAMS]))),
+        flag(F.regexp_count(low, F.lit("https?://")) > 1), flag(F.concat(host, path, query).rlike("(?i)[a-z0-9]{18,}")),
         flag(any_of([matches(host, d) for d in lists.HOSTING_DOMAINS])), flag(any_of([F.contains(low, F.lit(w)) for w in lists.BRAND_WORDS])),
         count_in(low, lists.SUSPICIOUS_WORDS), entropy(u),
     ]
-    return dict(zip(URL_FEATURES, made, strict=True))

@@ -45,17 +45,17 @@ def unsafe_hosts(s: SparkSession, d: str) -> DataFrame:
 
 
 def url_features(s: SparkSession, d: str) -> DataFrame:
-    return pages_x(s, d).select("page_id", *(c.alias(k) for k, c in url.features(F.col("url")).items()))
+    return pages_x(s, d).select("page_id", url.features(F.col("url")).alias("f")).select("page_id", "f.*")
 
 
 def html_features(s: SparkSession, d: str) -> DataFrame:
-    return pages_x(s, d).select("page_id", *(c.alias(k) for k, c in html.features(F.col("html"), F.col("url")).items()))
+    return pages_x(s, d).select("page_id", html.features(F.col("html"), F.col("url")).alias("f")).select("page_id", "f.*")
 
 
 def featured(s: SparkSession, d: str) -> DataFrame:
     """All 35 features and the score, computed once each."""
     p = pages_x(s, d)
-    f = p.select("page_id", "url", "label", *(c.alias(k) for k, c in url.features(F.col("url")).items()), *(c.alias(k) for k, c in html.features(F.col("html"), F.col("url")).items()))
+    f = p.select("page_id", "url", "label", url.features(F.col("url")).alias("u"), html.features(F.col("html"), F.col("url")).alias("h")).select("page_id", "url", "label", "u.*", "h.*")
     names = (*url.URL_FEATURES, *html.HTML_FEATURES)
     return f.withColumn("score", score.heuristic({n: F.col(n) for n in names})).withColumn("host", url.hostname(url.with_scheme(F.col("url"))))
 
@@ -119,6 +119,12 @@ def html_tokens(s: SparkSession, d: str) -> DataFrame:
     return pages_x(s, d).select("page_id", html.html_text()(text.trimmed(F.col("html"), 2000)).alias("tokens"))
 
 
+def html_signals(s: SparkSession, d: str) -> DataFrame:
+    """Tags, attributes, link hosts and texts of whole pages, a row each."""
+    s.udtf.register("html_signals", html.html_signals())
+    return s.sql("SELECT page_id, seq, kind, name, value FROM {pages}, LATERAL html_signals(html)", pages=pages_x(s, d).select("page_id", "html"))
+
+
 def char_encode(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "conversations").select("conv_id", "turn", text.char_encode(F.col("text"), 200, 128).alias("ids"))
     return c.select("conv_id", "turn", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
@@ -241,7 +247,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS
     "char_encode": "WITH c AS (SELECT conv_id, turn, list_transform(range(1, 201), lambda i: CASE WHEN i <= length(text) THEN least(unicode(substring(lower(text), i, 1)), 127) ELSE 0 END) AS ids FROM conversations) SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n, CAST(list_sum(ids) AS BIGINT) AS total, md5(array_to_string(ids, ',')) AS digest FROM c",
 }
 
-QUERIES = {f.__name__: f for f in (url_parts, url_normalise, feed_normalise, url_normalise_idna, domain_urls, unsafe_hosts, url_features, html_features, heuristic_score, risk_level, observed_signals, risk_by_domain, online_predict, tag_counts, top_tlds, html_fingerprint, error_page, text_normalise, strip_markup, html_tokens, char_encode)}
+QUERIES = {f.__name__: f for f in (url_parts, url_normalise, feed_normalise, url_normalise_idna, domain_urls, unsafe_hosts, url_features, html_features, heuristic_score, risk_level, observed_signals, risk_by_domain, online_predict, tag_counts, top_tlds, html_fingerprint, error_page, text_normalise, strip_markup, html_tokens, html_signals, char_encode)}
 SQL["online_predict"] = f"""{FEATURED} SELECT page_id, full_url, CASE WHEN score < 75e-2 THEN 'inconclusive' WHEN score >= 5e-1 THEN 'phishing' ELSE 'legitimate' END AS decision, CASE WHEN score >= 75e-2 THEN 'phishing' ELSE 'suspicious' END AS risk_level,
 round(score, 4) AS phishing_probability, 'rules' AS model_source, html_available FROM featured JOIN (SELECT page_id, full_url, url FROM hosts) USING (page_id) WHERE length(trim(url)) BETWEEN 3 AND 2048"""
 SQL["domain_urls"] = f"WITH {PARTS} SELECT page_id, CASE WHEN host = '' THEN NULL ELSE concat('https://', host, '/') END AS url, CASE WHEN host = '' THEN 'empty_url' END AS error FROM hosts"

@@ -91,13 +91,12 @@ def predict(pages: DataFrame, deep: Column | None = None, threshold: float = 0.5
     URLs shorter or longer than ``LENGTHS`` give no row. Without a deep model's column the rules' score decides.
     """
     rows = pages.where(F.length(F.trim("url")).between(*LENGTHS))
-    f = {**url.features(F.col("url")), **html.features(F.col("html"), F.col("url"))}
-    rows = rows.withColumns({f"_{k}": c for k, c in f.items()})
-    rules = score.heuristic({k: F.col(f"_{k}") for k in f})
+    rows = rows.withColumns({"_u": url.features(F.col("url")), "_h": html.features(F.col("html"), F.col("url"))})
+    rules = score.heuristic({k: F.col(f"{s}.{k}") for s, names in (("_u", url.URL_FEATURES), ("_h", html.HTML_FEATURES)) for k in names})
     p = rules if deep is None else F.coalesce(deep, rules)
     has_deep = F.lit(False) if deep is None else deep.isNotNull()
     rows = rows.withColumn("_score", p)
-    return rows.select(*pages.columns, url.with_scheme(F.col("url")).alias("full_url"), score.decision(F.col("_score"), F.lit(threshold), ~has_deep).alias("decision"), score.risk_level(F.col("_score"), has_deep).alias("risk_level"), F.round("_score", 4).alias("phishing_probability"), F.when(has_deep, "deep").otherwise("rules").alias("model_source"), F.col("_html_available").alias("html_available"))
+    return rows.select(*pages.columns, url.with_scheme(F.col("url")).alias("full_url"), score.decision(F.col("_score"), F.lit(threshold), ~has_deep).alias("decision"), score.risk_level(F.col("_score"), has_deep).alias("risk_level"), F.round("_score", 4).alias("phishing_probability"), F.when(has_deep, "deep").otherwise("rules").alias("model_source"), F.col("_h.html_available").alias("html_available"))
 
 
 def normalised_text(pages: DataFrame, column: str = "html") -> DataFrame:
