@@ -96,16 +96,45 @@ def candidates(spark: SparkSession, path: str, layout: str = "header", url_colum
     return rows.select("input_row", "original_url", F.when(reason.isNull(), F.col("_n.url")).otherwise(F.lit("")).alias("normalized_url"), "raw_label", "label", reason.alias("reason"))
 
 
-def predictions(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """SRC10, SRC11: typed predictions, of one model if it's named; an empty file raises when it is read."""
+PREDICTION = "sample_id string, model string, true_label int, p double, threshold double, source string, domain string, url string, ord bigint"
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def predictions(spark: SparkSession, path: str, model: str | None = None, optional: bool = False) -> DataFrame:
+    """SRC10: typed predictions, of one model if it's named; a missing file or one without rows raises.
+
+    SRC11: with ``optional`` either is a table without rows.
+    """
+    if optional and not there(spark, path):
+        return spark.createDataFrame([], PREDICTION)
     rows = ordinal(require(spark.read.options(header=True, **CSV).csv(path), ["sample_id", "model", "true_label", "phishing_probability", "threshold"]))
-    if not rows.take(1):
+    if not optional and not rows.take(1):
         raise ValueError(f"no predictions in {path}")
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
     out = rows.select("sample_id", "model", F.col("true_label").cast("int"), F.col("phishing_probability").cast("double").alias("p"), F.col("threshold").cast("double"), text("source").alias("source"), text("domain").alias("domain"), text("url").alias("url"), "ord")
     return out.where(F.col("model") == model) if model else out
 
 
+def internal_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC12: (model, internal_f1, ...) of comparison tables; paths that aren't there are left out, and of a model in several the last counts."""
+    found = [(k, p) for k, p in enumerate(paths) if there(spark, p)]
+    numbers = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    schema = "model string, " + ", ".join(f"internal_{c} double" for c in numbers)
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = None
+    for k, p in found:
+        t = require(spark.read.options(header=True, **CSV).csv(p), ["model"])
+        one = ordinal(t).select("model", *((F.expr(f"try_cast({c} as double)") if c in t.columns else F.lit(None).cast("double")).alias(f"internal_{c}") for c in numbers), F.struct(F.lit(k), "ord").alias("_at"))
+        rows = one if rows is None else rows.unionByName(one)
+    last = rows.groupBy("model").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "_at")), "_at").alias("r"))
+    return last.select("r.*")
+
+
 def thresholds(spark: SparkSession, path: str) -> DataFrame:
     """SRC13: (model, threshold) of JSON ({models: {m: {threshold}}}, {models: {m: x}} or {m: x}) or of a CSV."""
     if path.endswith(".csv"):
@@ -156,17 +185,36 @@ def with_payloads(index: DataFrame, files: DataFrame, split: str | None = None,
     return rows.join(pages, "html_file").withColumn("html", F.substring("html", 1, html_chars))
 
 
-def external_batch(spark: SparkSession, root: str, balanced: bool = True) -> DataFrame:
-    """SRC9: samples root/SAMPLE/{URL,RAW-HTML,SCREEN-SHOT,Label}/ID.* of a complete batch; unequal label counts raise."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def external_batch(spark: SparkSession, root: str, balanced: bool = True, html_chars: int = 2000) -> DataFrame:
+    """SRC9: the samples of a collected batch: (sample_id, url, html, screenshot_file, label, source, domain), in order of sample_id.
+
+    The gates, each of which raises: ``dataset_summary.json`` says role external_test_only and complete; every row of ``collection_results.csv``
+    has its five files and the label of its file; labels are balanced. Screenshots are only listed, not read.
+    """
+    summary = spark.read.text(f"{root}/dataset_summary.json", wholetext=True).select(F.get_json_object("value", "$.dataset_role").alias("role"), F.get_json_object("value", "$.complete").alias("complete")).first()
+    if summary is None or summary.role != "external_test_only":
+        raise ValueError("the batch isn't marked external_test_only")
+    if summary.complete != "true":
+        raise ValueError("the batch isn't marked complete")
+    index = require(spark.read.options(header=True, **CSV).csv(f"{root}/collection_results.csv"), ["sample_id", "label"])
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in index.columns else F.lit("")
+    index = index.select("sample_id", F.col("label").alias("told"), text("source").alias("source"), text("domain").alias("domain"))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     get = lambda k: F.regexp_extract("path", r"/([^/]+)/(URL|RAW-HTML|SCREEN-SHOT|Label)/([^/]+)$", k)
-    part = files.select(get(1).alias("sample_id"), get(2).alias("kind"), "path", F.when(get(2) != "SCREEN-SHOT", F.decode("content", "UTF-8")).alias("text")).where("sample_id <> ''")
+    base = F.substring_index(get(1), "_", 1)
+    named = get(3) == F.concat(base, F.when(get(2) == "RAW-HTML", ".html").when(get(2) == "SCREEN-SHOT", ".png").otherwise(".txt"))
+    texts = files.option("pathGlobFilter", "*.{txt,html}").load(root).where(named).select(get(1).alias("id"), get(2).alias("kind"), "path", F.decode("content", "UTF-8").alias("text"))
+    shots = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root).where(named).select(get(1).alias("id"), get(2).alias("kind"), "path", F.lit(None).cast("string").alias("text"))
+    meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").load(root).select(F.regexp_extract("path", "/([^/]+)/metadata[.]json$", 1).alias("id"), F.lit("metadata").alias("kind"), "path", F.lit(None).cast("string").alias("text"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    s = part.groupBy("sample_id").agg(of("URL", "text").alias("url"), of("RAW-HTML", "text").alias("html"), of("SCREEN-SHOT", "path").alias("screenshot_file"), of("Label", "text").alias("label_text"))
-    whole = F.when(F.col("url").isNotNull() & F.col("html").isNotNull() & F.col("screenshot_file").isNotNull() & F.col("label_text").isNotNull(), F.col("sample_id")).otherwise(F.raise_error(F.concat(F.lit("files are missing of "), F.col("sample_id"))))
-    label = F.trim("label_text").cast("int")
-    named = F.when(F.substring("sample_id", 1, 1) == F.when(label == 0, "L").otherwise("P"), label).otherwise(F.raise_error(F.concat(F.lit("label and name disagree: "), F.col("sample_id"))).cast("int"))
-    out = s.select(whole.alias("sample_id"), strip(F.col("url")).alias("url"), "html", "screenshot_file", named.alias("label"))
+    s = texts.unionByName(shots).unionByName(meta).groupBy("id").agg(F.count_distinct("kind").alias("kinds"), of("URL", "text").alias("url"), of("RAW-HTML", "text").alias("html"), of("SCREEN-SHOT", "path").alias("screenshot_file"), of("Label", "text").alias("label_text"))
+    out = index.join(s, F.col("sample_id") == F.col("id"), "left")
+    whole = F.when(F.col("kinds") == 5, F.col("sample_id")).otherwise(F.raise_error(F.concat(F.lit("files are missing of "), F.col("sample_id"))))
+    label = F.trim(without_bom(F.regexp_replace("label_text", r"\s+$", "")))
+    same = F.when(label.isin("0", "1") & (label == F.trim("told")), label.cast("int")).otherwise(F.raise_error(F.concat(F.lit("labels disagree of "), F.col("sample_id"))).cast("int"))
+    page = F.substring("html", 1, html_chars) if html_chars > 0 else F.col("html")
+    out = out.select(whole.alias("sample_id"), strip(without_bom(F.col("url"))).alias("url"), page.alias("html"), "screenshot_file", same.alias("label"), "source", "domain")
     if balanced:
         counts = out.groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b"), F.count("*").alias("k"))
         ok = F.assert_true((F.col("k") == 2) & (F.col("a") == F.col("b")), F.lit("labels aren't balanced"))
