@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.plans import registry
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"html_tokens", "html_signals", "neural_scores", "logistic_scores"}
+ROWS_ONLY = {"html_tokens", "html_signals", "neural_scores", "logistic_scores", "artefact_scores"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY - {"logistic_scores", "neural_scores"}))
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY - {"logistic_scores", "neural_scores", "artefact_scores"}))
 def test_rows_only(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, lists, text, url
-from ..operators import admission, dedup, hamming, leakage, metrics, scoring
+from ..operators import admission, artefacts, dedup, hamming, leakage, metrics, scoring
+from ..sources import shared
 from . import url_queries
 from .views import WITH_PAGES, pages_x, table
 
@@ -174,6 +175,19 @@ def logistic_scores(s, d):
     return model.transform(f).select("page_id", "label", F.col("predicted").cast("int").alias("predicted"))
 
 
+def artefact_scores(s, d):
+    """Two kinds of models, each with a threshold of its validation rows, saved, loaded again and compared by what they say of every page."""
+    f = url_queries.featured(s, d)
+    names = [*url.URL_FEATURES, *html.HTML_FEATURES]
+    f = shared.written(f.select("page_id", "label", *names), "features")
+    loaded = {}
+    for kind, grid in (("logistic", {"regParam": [1e-3, 1e-1]}), ("forest", {"maxDepth": [5]})):
+        to = shared.new_path(s, f"artefact-{kind}")
+        artefacts.save(artefacts.trained(f, names, kind, grid=grid), to)
+        loaded[kind] = artefacts.load(s, to)
+    return artefacts.score_all(loaded, f, "page_id", "label").withColumn("p", F.round("p", 9))
+
+
 # ---- SQL
 _N = url_queries.normalise_sql(True)
 NORMAL = f"normal AS ({_N})"
@@ -231,5 +245,5 @@ SELECT doc_id, r.label, number, concat(CASE WHEN r.label = 0 THEN 'L' ELSE 'P' E
     "scan_reasons": f"WITH {WITH_PAGES} SELECT CASE WHEN url = '' THEN 'missing_url' WHEN html = '' THEN 'missing_html' WHEN status = 404 THEN 'missing_screenshot' ELSE 'written' END AS reason, count(*) AS n FROM pages_x GROUP BY 1",
 }
 
-_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores)
+_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
