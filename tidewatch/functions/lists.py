@@ -49,5 +49,8 @@ LOCAL_NETWORKS_V6 = (
     "0:0:0:0:0:0:0:0/128", "0:0:0:0:0:0:0:1/128", "64:ff9b:1::/48", "100:0:0:0::/64", "2001:0::/23", "2001:db8::/32", "2002::/16", "3fff::/20",
     "fc00::/7", "fe80::/10",
 )
+# Addresses inside these networks that are global: 192.0.0.9 and 192.0.0.10 as numbers, and IPv6 networks.
+GLOBAL_INSIDE = (3221225481, 3221225482)
+GLOBAL_INSIDE_V6 = ("2001:1:0:0:0:0:0:1/128", "2001:1:0:0:0:0:0:2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 # Models in their order, with what they read.
 MODELS = (("url_cnn", "url"), ("url_lstm", "url"), ("html_cnn", "html"), ("screenshot_cnn", "screenshot"), ("dual_branch_cnn", "url+html"), ("tri_branch_cnn", "url+html+screenshot"))

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .entities import unescape
+
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 def normalise(text: Column) -> Column:
-    """T1, natively: common entities only."""
-    from .html import unescape
-
+    """T1, natively."""
     t = unescape(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, " "))
     return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ def with_scheme(url: Column) -> Column:
     return F.when(u.rlike(SCHEME), u).otherwise(F.concat(F.lit("https://"), u))
 
 
+@cache
+def _composed() -> str:
+    """The characters that compatibility composition turns into delimiters of a URL."""
+    from unicodedata import normalize
+
+    return "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and set(normalize("NFKC", c)) & set("/?#@:"))
+
+
+def tolerant(url: Column) -> Column:
+    """The URL, without brackets where its host can't be parsed, and a fixed one where it can't even so."""
+
+    def composed(u: Column) -> Column:
+        return part(u, 2).rlike(f"[{_composed()}]")
+
+    def bracketed(net: Column) -> Column:
+        opened, closed = F.contains(net, F.lit("[")), F.contains(net, F.lit("]"))
+        inside = F.substring_index(F.regexp_replace(net, r"^[^\[]*\[", ""), "]", 1)
+        wrong = lambda x: F.when(x.startswith("v"), ~x.rlike(r"^v[a-fA-F0-9]+\..+$")).otherwise((x == "") | hextets(F.regexp_replace(x, "%[^%]+$", "")).isNull())
+        return (opened != closed) | (opened & let(inside, wrong))
+
+    def checked(u: Column) -> Column:
+        bare = F.replace(F.replace(u, F.lit("["), F.lit("")), F.lit("]"), F.lit(""))
+        return F.when(~(bracketed(part(u, 2)) | composed(u)), u).otherwise(let(bare, lambda b: F.when(composed(b), "https://invalid.local/").otherwise(b)))
+
+    return let(url, lambda u: F.when(part(u, 2).rlike(r"^[!-Z\\^-~]*$"), u).otherwise(checked(u)))
+
+
 def hostname(url: Column) -> Column:
     """Lower-case host without user info, port and brackets."""
     host = F.regexp_replace(part(url, 2), "^.*@", "")
@@ -58,8 +86,12 @@ def hextets(host: Column) -> Column:
 
 def is_local_v6(x: Column) -> Column:
     """Whether the eight numbers are an address that isn't global."""
+    return _in_v6(x, lists.LOCAL_NETWORKS_V6) & ~_in_v6(x, lists.GLOBAL_INSIDE_V6)
+
+
+def _in_v6(x: Column, networks: tuple[str, ...]) -> Column:
     tests = []
-    for net in lists.LOCAL_NETWORKS_V6:
+    for net in networks:
         prefix, _, bits = net.partition("/")
         given = [int(y, 16) for y in prefix.split(":") if y]
         whole, rest = divmod(int(bits), 16)
@@ -85,7 +117,7 @@ def is_unsafe_host(host: Column) -> Column:
             base, _, bits = net.partition("/")
             low = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
             nets.append((n >= low) & (n < low + (1 << (32 - int(bits)))))
-        return F.coalesce(reduce(lambda a, b: a | b, nets), F.lit(False))
+        return F.coalesce(reduce(lambda a, b: a | b, nets) & ~n.isin(*lists.GLOBAL_INSIDE), F.lit(False))
 
     def local_v6(x: Column) -> Column:
         mapped = reduce(lambda a, b: a * 256 + b, [F.get(x, F.lit(i)) for i in range(4)])
@@ -190,18 +222,18 @@ URL_FEATURES = (
 def features(url: Column) -> Column:
     """U8: the 23 features of a URL as one struct. Select it first and its fields afterwards, so that it's computed once."""
     path = lambda u: F.regexp_replace(part(u, 3), ";[^/]*$", "")
-    parts = lambda u: F.struct(u.alias("url"), F.lower(u).alias("low"), hostname(u).alias("host"), path(u).alias("path"), part(u, 4).alias("query"))
-    made = lambda p: _features(*(p[k] for k in ("url", "low", "host", "path", "query")))
-    return let(with_scheme(url), lambda u: let(parts(u), lambda p: F.struct(*(c.alias(k) for k, c in zip(URL_FEATURES, made(p), strict=True)))))
+    parts = lambda u, t: F.struct(u.alias("url"), F.lower(u).alias("low"), t.alias("parsed"), hostname(t).alias("host"), path(t).alias("path"), part(t, 4).alias("query"))
+    made = lambda p: _features(*(p[k] for k in ("url", "low", "parsed", "host", "path", "query")))
+    return let(with_scheme(url), lambda u: let(let(tolerant(u), lambda t: parts(u, t)), lambda p: F.struct(*(c.alias(k) for k, c in zip(URL_FEATURES, made(p), strict=True)))))
 
 
-def _features(u: Column, low: Column, host: Column, path: Column, query: Column) -> list[Column]:
+def _features(u: Column, low: Column, parsed: Column, host: Column, path: Column, query: Column) -> list[Column]:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     ip = host.rlike(IP)
     less = lambda pattern: (F.length(u) - F.length(F.regexp_replace(u, pattern, ""))).cast("int")
     return [
-        F.length(u), F.length(part(u, 2)), F.length(path), F.length(query), less(r"\."), less("-"), less("[0-9]"),
-        less(r"[^\p{L}\p{N}]"), flag(F.lower(part(u, 1)) == "https"), flag(ip), flag(F.contains(u, F.lit("@"))),
+        F.length(u), F.length(part(parsed, 2)), F.length(path), F.length(query), less(r"\."), less("-"), less("[0-9]"),
+        less(r"[^\p{L}\p{N}]"), flag(F.lower(part(parsed, 1)) == "https"), flag(ip), flag(F.contains(u, F.lit("@"))),
         F.when(ip, F.lit(0)).otherwise(F.greatest(F.size(labels) - 2, F.lit(0))), flag(F.try_element_at(labels, F.lit(-1)).isin(*lists.RISKY_TLDS)),
         flag(host.isin(*lists.SHORTENERS)), flag(F.contains(host, F.lit("xn--"))), flag(F.contains(u, F.lit("%"))),
         let(F.lower(query), lambda q: flag(any_of([F.contains(q, F.lit(f"{p}=")) for p in lists.REDIRECT_PARAMS]))),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, lists, text, url
 from ..operators import admission, artefacts, dedup, hamming, leakage, metrics, scoring
+from ..operators import leakage_store as leakage_tables
 from ..sources import shared
 from . import url_queries
 from .views import WITH_PAGES, pages_x, table
@@ -88,10 +89,23 @@ def leakage_cache(s, d):
     return leakage.from_json(leakage.as_json(leakage.index(c), leakage.stats(c)))
 
 
-def leakage_probe(s, d):
+def _probed(s, d):
     p = pages_x(s, d).where("page_id % 3 <> 0").withColumn("n", url.normalise(F.col("url")))
-    batch = p.select("page_id", F.col("n.url").alias("url"), html.fingerprint(F.col("html")).alias("html_hash"), url.hostname(F.col("n.url")).alias("domain"), "label")
-    return leakage.probe(batch, leakage.index(_corpus(pages_x(s, d).where("page_id % 3 = 0")))).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
+    return p.select("page_id", F.col("n.url").alias("url"), html.fingerprint(F.col("html")).alias("html_hash"), url.hostname(F.col("n.url")).alias("domain"), "label")
+
+
+def leakage_probe(s, d):
+    return leakage.probe(_probed(s, d), leakage.index(_corpus(pages_x(s, d).where("page_id % 3 = 0")))).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
+
+
+def leakage_store(s, d):
+    """The same probe against a store that the corpus was added to in two batches, the second of which repeats keys of the first."""
+    root = shared.new_path(s, "leakage-store")
+    third = leakage.index(_corpus(pages_x(s, d).where("page_id % 3 = 0")))
+    first = leakage.index(_corpus(pages_x(s, d).where("page_id % 6 = 0")))
+    leakage_tables.add(first, root, 0)
+    leakage_tables.add(third, root, 1)
+    return leakage_tables.probe(_probed(s, d), root).select("page_id", "in_url", "in_html_hash", "in_phishing_domain")
 
 
 def duplicate_texts(s, d):
@@ -215,6 +229,8 @@ f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS I
     CASE WHEN CASE r.label WHEN 0 THEN f.left0 ELSE f.left1 END <= 0 THEN 'skipped' WHEN list_contains(f.urls, r.url) THEN 'duplicate_original_url' WHEN r.reason IS NOT NULL THEN r.reason WHEN list_contains(f.pages, r.page) THEN 'duplicate_html'
       WHEN len(list_filter(f.shots, lambda x: hamming(x, r.shot) <= 5)) > 0 THEN 'duplicate_screenshot' ELSE 'accepted' END AS outcome FROM f JOIN r ON r.i = f.i + 1 WHERE f.left0 > 0 OR f.left1 > 0)))"""
 LABELLED = "o AS (SELECT doc_id, 1 - quality AS label FROM documents JOIN labels USING (doc_id))"
+LEAKAGE_PROBE = f"""{THIRD(INDEX)}, batch AS (SELECT p.page_id, n.url, sha256({url_queries.CANONICAL}) AS h FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 <> 0)
+SELECT page_id, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'url' AND key = url) AS INT) AS in_url, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'html_hash' AND key = h) AS INT) AS in_html_hash, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'phishing_domain' AND key = {DOMAIN}) AS INT) AS in_phishing_domain FROM batch"""
 SQL = {
     "seen_anti_join": f"{ROWS} SELECT page_id, url FROM rows_ WHERE url NOT IN (SELECT url FROM seen)",
     "batch_dedup": f"{OUTCOMES} SELECT page_id, outcome FROM outcomes",
@@ -230,8 +246,8 @@ SELECT url, label, CASE WHEN label = 1 THEN 'feed' ELSE 'tranco' END AS source,
     "leakage_index": f"{INDEX} SELECT * FROM idx",
     "leakage_cache": f"{INDEX} SELECT * FROM idx",
     "leakage_stats": f"{CORPUS} SELECT CASE WHEN url IS NULL THEN 'url_errors' ELSE 'urls' END AS stat, count(*) AS n FROM corpus GROUP BY 1 UNION ALL SELECT 'html', count(*) FROM corpus",
-    "leakage_probe": f"""{THIRD(INDEX)}, batch AS (SELECT p.page_id, n.url, sha256({url_queries.CANONICAL}) AS h FROM pages_x p JOIN normal n USING (page_id) WHERE p.page_id % 3 <> 0)
-SELECT page_id, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'url' AND key = url) AS INT) AS in_url, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'html_hash' AND key = h) AS INT) AS in_html_hash, CAST(EXISTS (SELECT 1 FROM idx WHERE kind = 'phishing_domain' AND key = {DOMAIN}) AS INT) AS in_phishing_domain FROM batch""",
+    "leakage_probe": LEAKAGE_PROBE,
+    "leakage_store": LEAKAGE_PROBE,
     "duplicate_texts": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first",
     "hamming_pairs": f"WITH {BITS}, copies AS (SELECT vec_id + 1000000 AS vec_id, concat(translate(substring(b, 1, CAST(vec_id % 9 AS INT)), '01', '10'), substring(b, CAST(vec_id % 9 AS INT) + 1)) AS b FROM bits) SELECT x.vec_id AS a, y.vec_id AS b, hamming(x.b, y.b) AS distance FROM bits x, copies y WHERE hamming(x.b, y.b) <= 5",
     "hash_hex": f"WITH {BITS} SELECT vec_id, array_to_string(list_transform(range(0, 16), lambda i: substring('0123456789abcdef', CAST(8 * CAST(b[4 * i + 1] AS INT) + 4 * CAST(b[4 * i + 2] AS INT) + 2 * CAST(b[4 * i + 3] AS INT) + CAST(b[4 * i + 4] AS INT) + 1 AS BIGINT), 1)), '') AS hex, CAST(length(replace(b, '0', '')) AS BIGINT) AS ones, 1 AS same FROM bits",
@@ -245,5 +261,5 @@ SELECT doc_id, r.label, number, concat(CASE WHEN r.label = 0 THEN 'L' ELSE 'P' E
     "scan_reasons": f"WITH {WITH_PAGES} SELECT CASE WHEN url = '' THEN 'missing_url' WHEN html = '' THEN 'missing_html' WHEN status = 404 THEN 'missing_screenshot' ELSE 'written' END AS reason, count(*) AS n FROM pages_x GROUP BY 1",
 }
 
-_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
+_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, leakage_store, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
