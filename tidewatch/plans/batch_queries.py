@@ -9,8 +9,9 @@ from ..functions import html, lists, text, url
 from ..operators import admission, artefacts, dedup, hamming, leakage, metrics, scoring
 from ..operators import leakage_store as leakage_tables
 from ..sources import shared
+from ..streaming import admission as stream_admission
 from . import url_queries
-from .views import WITH_PAGES, pages_x, table
+from .views import WITH_PAGES, pages_x, shaped, table
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
@@ -155,17 +156,32 @@ def scan_reasons(s, d):
     return p.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+QUOTAS = {0: 60, 1: 30}
+
+
 def captures(s, d):
     """All pages as captures in order; screenshots are hashes of 97 vectors, of which later pages have copies with 0 to 8 bits flipped."""
-    p = pages_x(s, d).withColumn("vec_id", F.col("page_id") % 97)
-    h = table(s, d, "embeddings").select("vec_id", hamming.sign_hash(F.col("embedding")).alias("h"))
+    return captured(pages_x(s, d), table(s, d, "embeddings"))
+
+
+def captured(pages, embeddings):
+    p = pages.withColumn("vec_id", F.col("page_id") % 97)
+    h = embeddings.select("vec_id", hamming.sign_hash(F.col("embedding")).alias("h"))
     bit = lambda i: F.when((F.col("page_id") / 97).cast("bigint") % 9 > i, F.shiftleft(F.lit(1).cast("bigint"), 63 - i)).otherwise(F.lit(0).cast("bigint"))
     flips = sum((bit(i) for i in range(8)), F.lit(0).cast("bigint"))
     return p.join(h, "vec_id", "left").select(F.col("page_id").alias("ord"), "label", "url", F.col("url").alias("final_url"), "html", "status", "content_type", F.col("h").bitwiseXOR(flips).alias("dhash"))
 
 
 def admitted(s, d):
-    return admission.admit(admission.prepared(captures(s, d)), {0: 60, 1: 30})
+    return admission.admit(admission.prepared(captures(s, d)), QUOTAS)
+
+
+def stream_admitted(s, d):
+    """The same from a stream of the pages' file, with its state in tables."""
+    to = shared.new_path(s, "admission")
+    pages = s.readStream.schema(table(s, d, "pages").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/[p]ages.parquet")
+    stream_admission.run(admission.prepared(captured(shaped(pages), table(s, d, "embeddings"))), f"{to}/state", f"{to}/checkpoint", QUOTAS)
+    return stream_admission.outcomes(s, f"{to}/state").select("ord", "label", "outcome")
 
 
 def admission_outcomes(s, d):
@@ -223,7 +239,7 @@ ADMITTED = f"""{REASON.replace("WITH ", "WITH RECURSIVE ", 1)}, {BITS},
 shots AS (SELECT p.page_id, concat(translate(substring(b, 1, k), '01', '10'), substring(b, k + 1)) AS shot FROM (SELECT page_id, CAST(page_id // 97 % 9 AS INT) AS k FROM pages_x) p JOIN bits ON vec_id = p.page_id % 97),
 c AS (SELECT p.page_id AS ord, label, n.url, sha256({url_queries.CANONICAL}) AS page, shot, reason FROM pages_x p JOIN normal n USING (page_id) JOIN reasons USING (page_id) LEFT JOIN shots USING (page_id) WHERE n.url IS NOT NULL),
 r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url, label ORDER BY ord) = 1)),
-f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS INTEGER) AS label, '' AS outcome, CAST([] AS STRING[]) AS urls, CAST([] AS STRING[]) AS pages, CAST([] AS STRING[]) AS shots, 60 AS left0, 30 AS left1
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS INTEGER) AS label, '' AS outcome, CAST([] AS STRING[]) AS urls, CAST([] AS STRING[]) AS pages, CAST([] AS STRING[]) AS shots, {QUOTAS[0]} AS left0, {QUOTAS[1]} AS left1
   UNION ALL SELECT i, ord, label, outcome, CASE WHEN ok THEN list_append(urls, url) ELSE urls END, CASE WHEN ok THEN list_append(pages, page) ELSE pages END, CASE WHEN ok AND shot IS NOT NULL THEN list_append(shots, shot) ELSE shots END, left0 - CASE WHEN ok AND label = 0 THEN 1 ELSE 0 END, left1 - CASE WHEN ok AND label = 1 THEN 1 ELSE 0 END
   FROM (SELECT *, outcome = 'accepted' AS ok FROM (SELECT r.i, r.ord, r.label, r.url, r.page, r.shot, f.urls, f.pages, f.shots, f.left0, f.left1,
     CASE WHEN CASE r.label WHEN 0 THEN f.left0 ELSE f.left1 END <= 0 THEN 'skipped' WHEN list_contains(f.urls, r.url) THEN 'duplicate_original_url' WHEN r.reason IS NOT NULL THEN r.reason WHEN list_contains(f.pages, r.page) THEN 'duplicate_html'
@@ -257,9 +273,10 @@ SELECT doc_id, r.label, number, concat(CASE WHEN r.label = 0 THEN 'L' ELSE 'P' E
     "stratified_split": "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5(concat('42:', CAST(doc_id AS STRING))), doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 15e-2 + 5e-1) THEN 'val' ELSE 'train' END AS split FROM labels",
     "stratified_counts": "WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, 'val' AS split, CAST(floor(n * 15e-2 + 5e-1) AS BIGINT) AS n FROM n UNION ALL SELECT quality, 'train', n - CAST(floor(n * 15e-2 + 5e-1) AS BIGINT) FROM n",
     "admitted": f"{ADMITTED} SELECT ord, label, outcome FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped'",
+    "stream_admitted": f"{ADMITTED} SELECT ord, label, outcome FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped'",
     "admission_outcomes": f"{ADMITTED} SELECT label, outcome, count(*) AS n FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped' GROUP BY label, outcome",
     "scan_reasons": f"WITH {WITH_PAGES} SELECT CASE WHEN url = '' THEN 'missing_url' WHEN html = '' THEN 'missing_html' WHEN status = 404 THEN 'missing_screenshot' ELSE 'written' END AS reason, count(*) AS n FROM pages_x GROUP BY 1",
 }
 
-_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, leakage_store, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
+_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, leakage_store, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, stream_admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -195,7 +195,11 @@ URL_SQL = {
     "has_public_hosting_platform": any_sql("host", lists.HOSTING_DOMAINS, "({e} = '{w}' OR ends_with({e}, '.{w}'))"),
     "has_brand_impersonation": any_sql("lower(full_url)", lists.BRAND_WORDS), "suspicious_word_count": count_sql("lower(full_url)", lists.SUSPICIOUS_WORDS), "entropy": ENTROPY,
 }
-UNESCAPE = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: The references that the tables hold, the ampersand last.
+UNESCAPE = "{x}"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
+    UNESCAPE = f"replace({UNESCAPE}, '{_name}', '{_char}')"
+UNESCAPE = f"regexp_replace({UNESCAPE}, '&amp;?', '&', 'g')"
 PASSWORDS = "(len(string_split(lower(html), 'type=\"password\"')) - 1 + len(string_split(lower(html), 'type=''password''')) - 1)"
 TAG = lambda t: rf"len(regexp_extract_all(html, '(?i)<\s*{t}\b'))"
 PLAIN = UNESCAPE.format(x="regexp_replace(lower(html), '<[^>]+>', ' ', 'g')")

@@ -55,7 +55,12 @@ CROSS JOIN (SELECT 1 AS m UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT
 
 def pages_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with many shapes of URLs and markup, statuses, content types and labels."""
-    return spark.sql(PAGES_X, pages=table(spark, sf_dir, "pages"))
+    return shaped(table(spark, sf_dir, "pages"))
+
+
+def shaped(pages: DataFrame) -> DataFrame:
+    """The same of a table or stream of pages."""
+    return pages.sparkSession.sql(PAGES_X, pages=pages)
 
 
 def predictions_x(spark: SparkSession, sf_dir: str) -> DataFrame:
