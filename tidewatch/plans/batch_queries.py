@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, lists, text, url
+from ..functions import html, image, lists, text, url
 from ..operators import admission, artefacts, dedup, hamming, leakage, metrics, scoring
 from ..operators import leakage_store as leakage_tables
 from ..sources import shared
@@ -188,10 +188,34 @@ def admission_outcomes(s, d):
     return admitted(s, d).groupBy("label", "outcome").agg(F.count("*").alias("n"))
 
 
+def model_texts(pages):
+    """ML7, ML9: what text models read of a page: the normalised text of its URL, and the tokens of its start."""
+    start = text.trimmed(F.col("html"), scoring.HTML_CHARS)
+    return pages.withColumns({"url_text": text.normalise(F.col("url")), "page_text": html.html_text()(start)})
+
+
+def model_encodings(s, d):
+    """The encoded inputs of URL models: how many characters they take and their sum."""
+    ids = text.char_encode(text.normalise(F.col("url")), scoring.URL_CHARS, scoring.URL_VOCABULARY)
+    p = pages_x(s, d).select("page_id", ids.alias("ids"))
+    return p.select("page_id", F.size(F.filter("ids", lambda x: x > 0)).cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+def screenshots(s, d):
+    """I3, AG16: the checks of gray images made of the vectors, some of them missing, small or of one colour."""
+    k, rows, columns = F.col("vec_id") % 5, F.when(F.col("vec_id") % 5 == 0, 40).otherwise(64), 72
+    value = lambda i: F.pmod(F.floor(F.abs(F.get("embedding", (((i / columns).cast("int") * 7 + i % columns) % 64).cast("int")).cast("double")) * 1000) + i, F.lit(256))
+    pixel = lambda i: F.lpad(F.hex(F.when(k == 1, F.lit(120).cast("bigint")).otherwise(value(i)).cast("bigint")), 2, "0")
+    data = F.when(k != 2, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), rows * columns - 1), pixel), "")))
+    shot = F.struct(rows.alias("height"), F.lit(columns).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    found = table(s, d, "embeddings").select("vec_id", shot.alias("image")).select("vec_id", image.inspected()(F.col("image")).alias("r"))
+    return found.select("vec_id", "r.error", "r.width", "r.height", F.round("r.deviation", 6).alias("deviation"), F.col("r.dhash").isNotNull().cast("int").alias("hashed"))
+
+
 def neural_scores(s, d):
     """All six networks with seeded weights over the pages' URLs, markup and images made of their embeddings; blank images without one."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.col("embedding"))).cast("array<float>").alias("image"))
-    p = pages_x(s, d).select("page_id", text.char_encode(F.col("url"), scoring.URL_CHARS, scoring.URL_VOCABULARY).alias("u"), text.char_encode(text.trimmed(F.col("html"), scoring.HTML_CHARS), scoring.HTML_CHARS, scoring.HTML_VOCABULARY).alias("h")).join(e, "page_id", "left")
+    p = model_texts(pages_x(s, d)).select("page_id", text.char_encode(F.col("url_text"), scoring.URL_CHARS, scoring.URL_VOCABULARY).alias("u"), text.char_encode(F.col("page_text"), scoring.HTML_CHARS, scoring.HTML_VOCABULARY).alias("h")).join(e, "page_id", "left")
     blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * scoring.IMAGE * scoring.IMAGE)
     p = p.withColumn("image", F.coalesce("image", blank))
     inputs = {"url": "u", "html": "h", "screenshot": "image"}
@@ -275,8 +299,12 @@ SELECT doc_id, r.label, number, concat(CASE WHEN r.label = 0 THEN 'L' ELSE 'P' E
     "admitted": f"{ADMITTED} SELECT ord, label, outcome FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped'",
     "stream_admitted": f"{ADMITTED} SELECT ord, label, outcome FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped'",
     "admission_outcomes": f"{ADMITTED} SELECT label, outcome, count(*) AS n FROM f WHERE ord IS NOT NULL AND outcome <> 'skipped' GROUP BY label, outcome",
+    "model_encodings": f"WITH {WITH_PAGES}, t AS (SELECT page_id, substring({url_queries.NORMAL('url')}, 1, {scoring.URL_CHARS}) AS u FROM pages_x) SELECT page_id, length(u) AS n, CAST(coalesce(list_sum(list_transform(list_filter(string_split(u, ''), lambda c: c <> ''), lambda c: least(ord(c), {scoring.URL_VOCABULARY - 1}))), 0) AS BIGINT) AS total FROM t",
+    "screenshots": """WITH v AS (SELECT vec_id, vec_id % 5 AS k, CASE WHEN vec_id % 5 = 0 THEN 40 ELSE 64 END AS height, embedding FROM embeddings),
+p AS (SELECT vec_id, stddev_pop(CASE WHEN k = 1 THEN 120 ELSE (CAST(floor(abs(CAST(embedding[((i // 72) * 7 + i % 72) % 64 + 1] AS DOUBLE)) * 1000) AS BIGINT) + i) % 256 END) AS deviation FROM v, range(0, 4608) t(i) WHERE k NOT IN (0, 2) GROUP BY vec_id)
+SELECT vec_id, CASE k WHEN 2 THEN 'invalid_screenshot' WHEN 0 THEN 'screenshot_too_small' WHEN 1 THEN 'blank_or_monochrome_screenshot' END AS error, CASE WHEN k <> 2 THEN 72 END AS width, CASE WHEN k <> 2 THEN height END AS height, round(deviation, 6) AS deviation, CAST(k > 2 AS INT) AS hashed FROM v LEFT JOIN p USING (vec_id)""",
     "scan_reasons": f"WITH {WITH_PAGES} SELECT CASE WHEN url = '' THEN 'missing_url' WHEN html = '' THEN 'missing_html' WHEN status = 404 THEN 'missing_screenshot' ELSE 'written' END AS reason, count(*) AS n FROM pages_x GROUP BY 1",
 }
 
-_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, leakage_store, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, admitted, stream_admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
+_FUNCTIONS = (seen_anti_join, batch_dedup, candidate_stats, conflicting_label, label_map, label_counts, reject_reason, merge_rejections, build_candidates, leakage_index, leakage_stats, leakage_cache, leakage_probe, leakage_store, duplicate_texts, hamming_pairs, hash_hex, sample_ids, stratified_split, stratified_counts, scan_reasons, model_encodings, screenshots, admitted, stream_admitted, admission_outcomes, neural_scores, logistic_scores, artefact_scores)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..operators import audit, calibration, errors, metrics, scoring
-from .views import WITH_PREDICTIONS, predictions_x, table
+from .views import WITH_PAGES, WITH_PREDICTIONS, pages_x, predictions_x, table
 
 MODEL_ROWS = [(f"scorer_{i + 1}", lists.MODELS[i][1], i + 1) for i in range(6)]
 
@@ -67,8 +67,14 @@ def best_model(s, d):
 
 
 def model_inputs(s, d):
+    """Every page by every chosen model, with what the model reads and whether the page has it."""
     chosen = scoring.selected(["tri_branch_cnn", "url_cnn"])
-    return s.createDataFrame([(m, i, k) for k, (m, i) in enumerate(lists.MODELS)], "model string, input string, ord int").where(F.col("model").isin(chosen))
+    models = s.createDataFrame([(m, i, k) for k, (m, i) in enumerate(lists.MODELS) if m in chosen], "model string, input string, ord int")
+    shots = table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.lit(True).alias("shot"))
+    pages = pages_x(s, d).select("page_id", F.length("url") > 0, F.length("html") > 0).toDF("page_id", "has_url", "has_html").join(shots, "page_id", "left")
+    has = {"url": F.col("has_url"), "html": F.col("has_html"), "screenshot": F.coalesce("shot", F.lit(False))}
+    lacks = F.concat_ws("+", *(F.when(F.contains(F.col("input"), F.lit(k)) & ~c, F.lit(k)) for k, c in has.items()))
+    return pages.crossJoin(F.broadcast(models)).select("page_id", "model", "input", "ord", lacks.alias("lacks"))
 
 
 def misclassified(s, d):
@@ -76,7 +82,8 @@ def misclassified(s, d):
 
 
 def threshold_grid(s, d):
-    return s.createDataFrame([(t,) for t in calibration.grid(0.01)], "threshold double")
+    """How many predictions of all models reach each threshold of the grid."""
+    return calibration.curve(predictions_x(s, d), ["model"], calibration.grid(0.01)).groupBy("threshold").agg(F.sum(F.col("tp") + F.col("fp")).alias("n_positive"))
 
 
 def threshold_curve(s, d):
@@ -220,9 +227,10 @@ SQL = {
     "metrics_from_cm": f"{P}, cells AS (SELECT model, {CELLS.format(t='5e-1')} FROM predictions_x GROUP BY model) SELECT model, tn, fp, fn, tp, {rounded('f1', 'accuracy')} FROM cells",
     "model_comparison": f"{COMPARISON} SELECT model, input, threshold, threshold_source, {rounded('accuracy', 'precision', 'recall', 'f1')}, round(roc_auc, 9) AS roc_auc, round(internal_f1, 9) AS internal_f1, round({F1} - internal_f1, 9) AS delta_f1 FROM compared",
     "best_model": f"{COMPARISON} SELECT model AS best_model, round({F1}, 9) AS f1 FROM compared ORDER BY {F1} DESC, ord LIMIT 1",
-    "model_inputs": "SELECT * FROM (VALUES ('url_cnn', 'url', 0), ('tri_branch_cnn', 'url+html+screenshot', 5)) t(model, input, ord)",
+    "model_inputs": f"""WITH {WITH_PAGES} SELECT page_id, model, input, ord, concat_ws('+', CASE WHEN url = '' THEN 'url' END, CASE WHEN ord = 5 AND html = '' THEN 'html' END, CASE WHEN ord = 5 AND vec_id IS NULL THEN 'screenshot' END) AS lacks
+FROM pages_x LEFT JOIN embeddings ON vec_id = page_id CROSS JOIN (VALUES ('url_cnn', 'url', 0), ('tri_branch_cnn', 'url+html+screenshot', 5)) t(model, input, ord)""",
     "misclassified": f"{FACTS} SELECT sample_id, model, true_label FROM judged WHERE correct = 0",
-    "threshold_grid": f"WITH {GRID} SELECT threshold FROM grid",
+    "threshold_grid": f"{P}, {GRID} SELECT threshold, count_if(p >= threshold) AS n_positive FROM predictions_x, grid GROUP BY threshold",
     "threshold_curve": f"{CURVE} SELECT model, threshold, tn, fp, fn, tp, {rounded('f1')} FROM cells",
     **{k: calibrated_sql(**v) for k, v in CALIBRATIONS.items()},
     "model_errors": f"""{FACTS}, m AS (SELECT model, count(*) AS samples, count_if(correct = 0) AS wrong, count_if(correct = 0 AND true_label = 0) AS false_positives, count_if(correct = 0 AND true_label = 1) AS false_negatives, count_if(correct = 0 AND near = 1) AS near_threshold_wrong FROM judged GROUP BY model)
