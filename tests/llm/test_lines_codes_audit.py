@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -172,3 +173,16 @@ def test_values_share_out_what_all_filters_remove():
     r = filter_audit.Removal(counts)
     assert sum(r.shapley(i) for i in range(5)) == r.corner(31) == sum(counts) - counts[0]
     assert all(r.corner(s) == sum(n for m, n in enumerate(counts) if m & s) for s in range(32))
+
+
+# -- labels of equal texts
+
+
+def test_a_text_is_toxic_if_any_of_its_rows_is(spark):
+    from tidewatch.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i // 2}", "en", "s", 1) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    got = {r.text: r.toxic for r in toxicity.training(docs, labels, "doc_id", "text").collect()}
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert got == {f"text {k}": int(2 * k + 1 not in held) for k in range(20) if not {2 * k, 2 * k + 1} <= held}

@@ -69,14 +69,14 @@ START, END, MARK = 1, 3, 2
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, toxic, fold, kind) of the labelled rows outside the held-out fold, one for each different text."""
+    """(id, text, toxic, fold, kind) of the labelled rows outside the held-out fold, one for each different text: toxic if any row of the text is."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("_label_id").cast("string")) % FOLDS != 0)
     sentences = F.filter(F.split(F.col(text_col), "[.\n]+"), lambda x: F.length(x) > 20)
     like = F.coalesce(F.array_min(F.transform(sentences, lambda x: F.xxhash64(x))), F.xxhash64(text_col))
     hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.pmod(F.xxhash64(like), F.lit(FOLDS)).alias("fold"), F.pmod(like, F.lit(BITS)).cast("int").alias("kind"))
-    first = hashed.join(few_or_not(known), F.col("id") == F.col("_label_id")).groupBy("h").agg(F.min(F.struct("id", "toxic", "fold", "kind")).alias("x"))
-    first = first.select(F.col("x.id").alias("_label_id"), F.col("h").alias("_h"), "x.toxic", "x.fold", "x.kind")
+    first = hashed.join(few_or_not(known), F.col("id") == F.col("_label_id")).groupBy("h").agg(F.min(F.struct("id", "fold", "kind")).alias("x"), F.max("toxic").alias("toxic"))
+    first = first.select(F.col("x.id").alias("_label_id"), F.col("h").alias("_h"), "toxic", "x.fold", "x.kind")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     return rows.join(few_or_not(first), (F.col("id") == F.col("_label_id")) & (F.col("h") == F.col("_h"))).select("id", "text", "toxic", "fold", "kind")
 
