@@ -56,3 +56,13 @@ def test_addresses_are_global_as_the_standard_library_says(spark):
     six = ["2001:20::1", "2001:2f:ffff::", "2001:30::1", "2001:40::1", "2001:4:112::1", "2001:4:113::1", "2001:3::5", "2001:1::1", "2001:1::2", "2001:1::3", "2001:db8::1", "2606:4700::1", "::1"]
     got = column(spark, four + six, url.is_unsafe_host)
     assert got == [not ipaddress.ip_address(x).is_global for x in four + six]
+
+
+def test_paths_are_portable(spark):
+    import os
+
+    root = "/data/project"
+    paths = ["a/b.html", "./a//b/../c", "../outside/x", "/data/project/a/x.png", "/data/projects/x", "/data/project/../other", "/", "a/../../../../../x", "é/ü.txt", "/data/project", None]
+    whole = [p if p is None else os.path.normpath(os.path.join(root, p)).replace("//", "/") for p in paths]
+    assert column(spark, paths, lambda c: text.resolved(c, root)) == whole
+    assert column(spark, paths, lambda c: text.portable(c, root)) == [p if p is None or not p.startswith(f"{root}/") else p[len(root) + 1 :] for p in whole]

@@ -58,3 +58,18 @@ def label_of(value: Column) -> Column:
 
     v = F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", ""))
     return F.when(v.isin(*lists.LEGITIMATE), F.lit(0)).when(v.isin(*lists.PHISHING), F.lit(1))
+
+
+def resolved(path: Column, root: str) -> Column:
+    """PF16: an absolute path without empty, ``.`` and ``..`` steps; a relative one starts at ``root``."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def portable(path: Column, root: str) -> Column:
+    """PF16: the path from ``root``, where it is inside; else the absolute path."""
+    from .url import let
+
+    inside = root.rstrip("/") + "/"
+    return let(resolved(path, root), lambda p: F.when(p.startswith(inside), F.substr(p, F.lit(len(inside) + 1))).otherwise(p))
