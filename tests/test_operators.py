@@ -318,6 +318,21 @@ def test_networks(spark):
         scoring.selected(["x"])
 
 
+@pytest.mark.parametrize("used", [0, 1, 37, 150, 200])
+def test_padding_left_out_changes_no_maximum(used):
+    rng = np.random.default_rng(used)
+    ids = rng.integers(1, 128, (3, 203))
+    ids[:, used:] = 0
+    ids[1, used // 2 :] = 0
+    emb = rng.normal(size=(128, 8)).astype(np.float32)  # also with a padding that isn't 0
+    w1, w2, b1, b2 = rng.normal(size=(5, 8, 6)), rng.normal(size=(5, 6, 7)), rng.normal(size=6), rng.normal(size=7)
+    for pool, f in ((2, scoring._deep), (4, scoring._html)):
+        whole = scoring.conv1d(scoring.pool1d(scoring.conv1d(emb[ids], w1, b1), pool), w2, b2).max(axis=1)
+        assert np.allclose(f(ids, {"emb": emb, "conv1": (w1, b1), "conv2": (w2, b2)}), whole, atol=1e-4)
+    assert np.allclose(scoring._url(ids, {"emb": emb, "conv": (w1, b1)}), scoring.conv1d(emb[ids], w1, b1).max(axis=1), atol=1e-4)
+    assert used > 150 or scoring.unpadded(ids, 5, 2).shape[1] < 203
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     from tidewatch.streaming import streams
 

@@ -56,6 +56,17 @@ def test_neural_scores_of_pages_without_a_vector(spark, tmp_path):
     assert sorted(r.page_id for r in got) == sorted(pages) and all(0 < x < 1 for r in got for x in r[1:])
 
 
+def test_neural_scores_join_vectors_and_not_images(spark):
+    """An image is 48 KB, so a broadcast or a shuffle of images is what no driver holds."""
+    import re
+
+    plan = registry.queries()["neural_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter") :]
+    assert "flatten" in plan and "flatten" not in joined and "[0.0,0.0" not in joined
+    assert re.search(r"RepartitionByExpression \[page_id#\d+L?\], \d+", joined)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
 def test_what_has_no_sql():
     assert set(registry.queries()) - set(registry.oracle_sql()) == ROWS_ONLY
 

@@ -213,11 +213,16 @@ def screenshots(s, d):
 
 
 def neural_scores(s, d):
-    """All six networks with seeded weights over the pages' URLs, markup and images made of their embeddings; blank images without one."""
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.col("embedding"))).cast("array<float>").alias("image"))
-    p = model_texts(pages_x(s, d)).select("page_id", text.char_encode(F.col("url_text"), scoring.URL_CHARS, scoring.URL_VOCABULARY).alias("u"), text.char_encode(F.col("page_text"), scoring.HTML_CHARS, scoring.HTML_VOCABULARY).alias("h")).join(e, "page_id", "left")
+    """All six networks with seeded weights over the pages' URLs, markup and images made of their embeddings; blank images without one.
+
+    What is dealt and joined are the starts of pages and the vectors; images exist only in the short batches that go to the networks.
+    """
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
+    p = pages_x(s, d).select("page_id", "url", text.trimmed(F.col("html"), scoring.HTML_CHARS).alias("html")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id").join(e, "page_id", "left")
+    p = model_texts(p).select("page_id", "embedding", text.char_encode(F.col("url_text"), scoring.URL_CHARS, scoring.URL_VOCABULARY).alias("u"), text.char_encode(F.col("page_text"), scoring.HTML_CHARS, scoring.HTML_VOCABULARY).alias("h"))
+    image = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.col("embedding"))).cast("array<float>")
     blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * scoring.IMAGE * scoring.IMAGE)
-    p = p.withColumn("image", F.coalesce("image", blank))
+    p = p.withColumn("image", F.coalesce(image, blank))
     inputs = {"url": "u", "html": "h", "screenshot": "image"}
     return p.select("page_id", *(scoring.scorer(m, s)(*(F.col(inputs[i]) for i in reads.split("+"))).alias(m) for m, reads in lists.MODELS))
 
