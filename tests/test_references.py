@@ -11,7 +11,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import functions as F
 from test_operators import column
 
-from tidewatch.functions import entities, text, url
+from tidewatch.functions import entities, lists, text, url
 
 
 def test_all_names_and_numbers(spark):
@@ -66,3 +66,17 @@ def test_paths_are_portable(spark):
     whole = [p if p is None else os.path.normpath(os.path.join(root, p)).replace("//", "/") for p in paths]
     assert column(spark, paths, lambda c: text.resolved(c, root)) == whole
     assert column(spark, paths, lambda c: text.portable(c, root)) == [p if p is None or not p.startswith(f"{root}/") else p[len(root) + 1 :] for p in whole]
+
+
+def test_features_of_pages_know_all_references(spark):
+    """Also those without a semicolon or with any name, in titles and in words; what they leave at a title's ends is stripped."""
+    import re
+
+    from tidewatch.functions import html as pages
+
+    titles = ["the&amp;&amp;&amp", "&copy;&middot; caf&eacute", "&nbsp;a&#32;b&nbsp;", "&amp;lt;", "&#x41;&#65&notit;", "\u2003x\u00a0 y\x1c", "&unknown;", "&"]
+    rows = spark.createDataFrame([(i, f"<title>{t}</title><p>v&#101;rify w&#x61;llet</p>") for i, t in enumerate(titles)], "id int, html string")
+    got = {r.id: r.f for r in rows.select("id", pages.features(F.col("html"), F.lit("https://a.test/")).alias("f")).collect()}
+    assert [got[i].title_length for i in range(len(titles))] == [len(_html.unescape(re.sub(r"\s+", " ", t)).strip()) for t in titles]
+    plain = "verify wallet"
+    assert all(got[i].suspicious_html_word_count == sum(w in plain for w in lists.HTML_WORDS) for i in (1, 3, 4, 6)) and any(w in plain for w in lists.HTML_WORDS)
