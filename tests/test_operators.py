@@ -318,6 +318,51 @@ def test_networks(spark):
         scoring.selected(["x"])
 
 
+def test_recurrence_equals_its_formula():
+    """Also where rows start with more or less padding, or are nothing else."""
+    rng = np.random.default_rng(3)
+    emb, (wx, wh, b) = rng.normal(size=(9, 5)).astype(np.float32), (rng.normal(size=s).astype(np.float32) for s in ((5, 12), (3, 12), 12))
+    ids = rng.integers(1, 9, (6, 20))
+    for row, pad in zip(ids, (0, 7, 20, 1, 7, 19), strict=True):
+        row[:pad] = 0
+    ids[0, 4:6] = ids[1, 12:] = 0
+    h = c = np.zeros((6, 3))
+    for t in range(20):
+        i, f, g, o = np.split(emb[ids[:, t]] @ wx + b + h @ wh, 4, axis=1)
+        c = c / (1 + np.exp(-f)) + np.tanh(g) / (1 + np.exp(-i))
+        h = np.tanh(c) / (1 + np.exp(-o))
+    assert np.allclose(scoring.lstm(ids, emb, wx, wh, b), h, atol=1e-5)
+
+
+@pytest.mark.parametrize("characters", [3, 90, 250])
+def test_looked_up_sums_equal_a_convolution(characters):
+    """By pairs and, with many characters, one by one; rows are longer than a block."""
+    rng = np.random.default_rng(characters)
+    ids, emb, w = rng.integers(0, characters, (3, 2 * scoring.BLOCK + 7)), rng.normal(size=(256, 4)).astype(np.float32), rng.normal(size=(7, 4, 5)).astype(np.float32)
+    first = scoring.Embedded(ids, [len(row) for row in ids], emb, w)
+    assert len(first.looked) == (4 if len(np.unique(ids)) < scoring.PAIRED else 7)
+    for i, row in enumerate(ids):
+        got = np.concatenate([x.copy() for x in first.blocks(i, len(row))])
+        assert np.allclose(np.maximum(got, 0), scoring.conv1d(emb[row][None], w, np.zeros(5))[0], atol=1e-4)
+
+
+def test_images_of_equal_rows_take_few():
+    """Images whose rows are all the same have the features that all their rows give; a batch may hold both kinds."""
+    rng = np.random.default_rng(5)
+    p = scoring.seeded("screenshot_cnn")["image"]
+    p = {k: (w, rng.normal(size=b.shape).astype(np.float32)) for k, (w, b) in p.items()}
+    x = rng.normal(size=(3, 3, 64, 64)).astype(np.float32)
+    x[0], x[2] = x[0, :, :1], 0
+    got, nhwc = scoring._image(x.reshape(3, -1), p), x.transpose(0, 2, 3, 1)
+    assert np.allclose(got, scoring._images(nhwc, p, False), atol=1e-5) and np.allclose(got[::2], scoring._images(nhwc[::2, [0] * 3], p, True), atol=1e-5)
+    for k in range(4):
+        (w, b), wide = p[f"conv{k}"], np.pad(nhwc, ((0, 0), (1, 1), (1, 1), (0, 0)))
+        h = nhwc.shape[1]
+        nhwc = np.maximum(sum(wide[:, i : i + h, j : j + h] @ w[i, j] for i in range(3) for j in range(3)) + b, 0)
+        nhwc = nhwc.reshape(3, h // 2, 2, h // 2, 2, -1).max(axis=(2, 4)) if k < 3 else nhwc
+    assert np.allclose(got, nhwc.mean(axis=(1, 2)), atol=1e-4)
+
+
 @pytest.mark.parametrize("used", [0, 1, 37, 150, 200])
 def test_padding_left_out_changes_no_maximum(used):
     rng = np.random.default_rng(used)

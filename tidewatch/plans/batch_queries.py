@@ -220,11 +220,10 @@ def neural_scores(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
     p = pages_x(s, d).select("page_id", "url", text.trimmed(F.col("html"), scoring.HTML_CHARS).alias("html")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id").join(e, "page_id", "left")
     p = model_texts(p).select("page_id", "embedding", text.char_encode(F.col("url_text"), scoring.URL_CHARS, scoring.URL_VOCABULARY).alias("u"), text.char_encode(F.col("page_text"), scoring.HTML_CHARS, scoring.HTML_VOCABULARY).alias("h"))
-    image = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(192)), lambda i: F.col("embedding"))).cast("array<float>")
+    image = F.flatten(F.array_repeat(F.col("embedding").cast("array<float>"), 3 * scoring.IMAGE))
     blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * scoring.IMAGE * scoring.IMAGE)
-    p = p.withColumn("image", F.coalesce(image, blank))
-    inputs = {"url": "u", "html": "h", "screenshot": "image"}
-    return p.select("page_id", *(scoring.scorer(m, s)(*(F.col(inputs[i]) for i in reads.split("+"))).alias(m) for m, reads in lists.MODELS))
+    scores = scoring.scorers(scoring.selected(), s)(url=F.col("u"), html=F.col("h"), screenshot=F.coalesce(image, blank))
+    return p.select("page_id", scores.alias("s")).select("page_id", "s.*")
 
 
 def logistic_scores(s, d):
